@@ -59,7 +59,8 @@ def duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
     by_row = flagged.filter("__maybe").groupBy("digest", "id").agg(F.count("*").alias("c"))
-    by_text = by_row.groupBy("digest").agg(F.max(F.struct("id")).alias("top"), F.sum("c").alias("group_size"))
+    # written, so that the join below has an exchange on either side and Spark can split a large group
+    by_text = materialize(by_row.groupBy("digest").agg(F.max(F.struct("id")).alias("top"), F.sum("c").alias("group_size")), "groups")
     sized = by_row.join(by_text, "digest").select(
         "id", F.col("top.id").alias("keep_id"), "group_size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("nth")
     )
