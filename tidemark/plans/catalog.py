@@ -529,7 +529,7 @@ _RANKED = ["n_chars", "quality", "score"]
 
 @query(f"WITH {_HIST} SELECT * FROM hist")
 def hist_label_conditional(spark, sf_dir):
-    return ranking.label_histogram(scored(spark, sf_dir), _RANKED, "toxic", least=100)
+    return ranking.label_histogram(scored(spark, sf_dir), _RANKED, "toxic", least=50)
 
 
 @query(f"""WITH {_HIST}, a AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY feature ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM hist),
@@ -537,7 +537,7 @@ s AS (SELECT feature, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, roun
 r AS (SELECT *, round(abs(auc - 0.5), 6) AS abs_auc_minus_0_5 FROM s)
 SELECT row_number() OVER (ORDER BY abs_auc_minus_0_5 DESC, feature)::INTEGER AS rank, feature, auc, abs_auc_minus_0_5, n_pos, n_neg FROM r""")
 def hist_auc_rank(spark, sf_dir):
-    return ranking.rank_features(scored(spark, sf_dir), _RANKED, "toxic", least=100)
+    return ranking.rank_features(scored(spark, sf_dir), _RANKED, "toxic", least=50)
 
 
 # ---- sampling
