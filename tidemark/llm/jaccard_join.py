@@ -12,8 +12,8 @@ certain, they are not joined on; that depends only on the part, so both sets agr
 1. Parts are counted over the corpus, pre-aggregated; those of one node only drop out, by a bitmap
    of bounded size where it still filters, else by a join.
 2. Within each remaining part every node is paired with the least and the greatest node, which makes
-   twice as many pairs as nodes. Pairs are checked by size and by a 1024-bit parity sketch, then
-   verified on the whole texts, and linked nodes united into components.
+   twice as many pairs as nodes. Pairs are checked by size and by dense parity sketches of at least
+   DENSE bits a shingle, then verified on the whole texts, and linked nodes united into components.
 3. Parts whose other nodes are still of several components are compared in blocks of bounded
    size, only between components; what passes the sketch is verified and united too.
 Every pair of nodes that share a part is so either compared or already connected: no link that
@@ -42,8 +42,8 @@ from tidemark.session import materialize
 
 #: Upper size of each band over its lower one.
 BAND = 1.5
-#: 64-bit words of the dense sketch that checks pairs.
-DENSE = 16
+#: Bits of the dense sketch that checks pairs, for each shingle; and the fewest of a sketch.
+DENSE, LEAST_DENSE = 4, 1024
 #: Nodes of a part that are compared within one task at a time.
 CELL = 256
 
@@ -109,9 +109,21 @@ def set_digest(shingles: np.ndarray) -> int:
     return int(signed(mix(folded))[0])
 
 
-def dense_sketch(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount((shingles & np.uint64(DENSE * 64 - 1)).astype(np.int64), minlength=DENSE * 64) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def dense_sketch(shingles: np.ndarray) -> bytes:
+    """A parity sketch of a power of two of bits; the low bits of a shingle's hash are its place."""
+    size = max(LEAST_DENSE, 1 << int(DENSE * max(1, len(shingles)) - 1).bit_length())
+    bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch as 64-bit words, folded by exclusive or to ``size`` bytes: a parity sketch again."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def may_link(na: int, nb: int, apart: int, num: int, den: int) -> bool:
+    """Whether sizes and Hamming distance allow a similarity of num / den."""
+    return apart * (den + num) <= (na + nb) * (den - num) and min(na, nb) * den >= max(na, nb) * num
 
 
 def sets_of(block: pa.Table, n: int, words_hash: WordCache) -> list[np.ndarray]:
@@ -124,10 +136,10 @@ def _nodes(source: DataFrame, n: int) -> DataFrame:
         for block in blocks(batches):
             sets = sets_of(block, n, words_hash)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": block["doc_id"].combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([set_digest(s) for s in sets], pa.int64()), "sketch": pa.array([dense_sketch(s) for s in sets], pa.list_(pa.int64()))}
+                {"doc_id": block["doc_id"].combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([set_digest(s) for s in sets], pa.int64()), "sketch": pa.array([dense_sketch(s) for s in sets], pa.binary())}
             )
 
-    return source.mapInArrow(run, "doc_id long, n long, node long, sketch array<long>")
+    return source.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
 
 
 def part_keys(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -184,10 +196,16 @@ def _close_enough(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
     """The pairs (a, b) that may link by size and sketch."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    # D shingles differ at most; and den * min >= num * max
-    fits = (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    return both.filter(fits).select("a", "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for na, nb, sa, sb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                size = min(len(sa), len(sb))
+                keep.append(may_link(na, nb, int(np.bitwise_count(folded(sa, size) ^ folded(sb, size)).sum()), num, den))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -243,7 +261,8 @@ def _cells(rest: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         node, comp, size, mine = (table[c].to_numpy() for c in ("node", "component", "n", "mine"))
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, DENSE)
+        raw = table["sketch"].to_pylist()
+        sketch = np.array([folded(x, min(map(len, raw))) for x in raw])  # sizes in a part are alike
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         out_a, out_b = [], []
