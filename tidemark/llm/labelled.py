@@ -11,19 +11,23 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(id_col.cast("string"), "UTF-8")), F.lit(folds)) == fold, F.lit(False))
 
 
-def labelled_sample(
+def labelled_rows(
     docs: DataFrame, labels: DataFrame, label: str, max_rows: int, folds: int = 4, fold: int = 2,
     id_col: str = "doc_id", text: str = "text",
-) -> list[tuple[str, int]]:
-    """At most ``max_rows`` (text, label) outside the held-out fold, in the order of a hash of the id.
+) -> DataFrame:
+    """(id, text, y): the documents of at most ``max_rows`` ids outside the held-out fold.
 
-    The ids are drawn first, so only the sample's texts are moved. An id with several labels
-    counts once, with the larger; null ids and labels are left out.
+    The ids are drawn first, in the order of a hash, so only the sample's texts are moved. An id with
+    several labels counts once, with the larger; null ids and labels are left out.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL")
-    known = known.filter(~held_out(F.col("__id"), folds, fold)).groupBy("__id").agg(F.max("__y").alias("__y"))
-    order = F.md5(F.encode(F.col("__id").cast("string"), "UTF-8"))
-    drawn = known.orderBy(order, "__id").limit(max_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    rows = texts.join(F.broadcast(drawn), "__id").select("__id", "__t", "__y").limit(2 * max_rows).collect()  # max_rows ids at most
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+    known = known.filter(~held_out(F.col("id"), folds, fold)).groupBy("id").agg(F.max("y").alias("y"))
+    drawn = known.orderBy(F.md5(F.encode(F.col("id").cast("string"), "UTF-8")), "id").limit(max_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(drawn), "id").select("id", "text", "y")  # max_rows ids at most
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, **names) -> list[tuple[str, int]]:
+    """The (text, label) of ``labelled_rows``, in order of id, on the driver."""
+    rows = labelled_rows(docs, labels, label, max_rows, **names).limit(2 * max_rows).collect()
     return [(t, y) for _, t, y in sorted(map(tuple, rows))]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import held_out, labelled_sample
+from tidemark.llm.labelled import held_out, labelled_rows
 from tidemark.llm.textops import FOLD_WORDS, WordCache, as_bytes, blocks, mix, ragged, small_batches
 
 BITS = 20
@@ -67,11 +67,12 @@ class Ftrl:
         self.n0 += g * g
 
 
-def fit(sample: list[tuple[str, int]], epochs: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, intercept): the weights that are not zero."""
-    model, words_hash = Ftrl(), WordCache()
-    rows = [(np.unique(features([t.encode()], words_hash)[0].astype(np.int32)), y) for t, y in sample]
-    seen = np.zeros(1 << BITS, np.int32)
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def learn(rows: list[tuple[np.ndarray, int]], epochs: int = 6) -> Model:
+    """(coordinates, weights, intercept) from rows of distinct coordinates and a label: the weights that are not zero."""
+    model, seen = Ftrl(), np.zeros(1 << BITS, np.int32)
     for at, _ in rows:
         seen[at] += 1
     rows = [(at[seen[at] >= LEAST_ROWS], y) for at, y in rows]  # what one row alone has can't be learned
@@ -83,7 +84,25 @@ def fit(sample: list[tuple[str, int]], epochs: int = 6) -> tuple[np.ndarray, np.
     return at, model.weights(at).astype(np.float32), float(model.intercept)
 
 
-def _scorer(model: tuple[np.ndarray, np.ndarray, float]):
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+    """Learns in one task from the sample of ``max_rows`` rows; only the weights come to the driver."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        words_hash, rows = WordCache(), []
+        for batch in batches:
+            for text, y in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                rows.append((np.unique(features([text], words_hash)[0].astype(np.int32)), y))
+        at, weights, intercept = learn(rows)
+        yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.list_(pa.int64())), "weights": pa.array([weights], pa.list_(pa.float32())), "intercept": [intercept]})
+
+    sample = labelled_rows(docs, labels, label, max_rows).limit(2 * max_rows).repartition(1).sortWithinPartitions("id", "text")
+    found = sample.mapInArrow(run, "at array<long>, weights array<float>, intercept double").collect()
+    at, weights, intercept = found[0] if found else ([], [], 0.0)
+    return np.array(at, np.int64), np.array(weights, np.float32), intercept
+
+
+def _scorer(model: Model):
     """A function from texts to scores, with weights laid out once a task."""
     at, values, intercept = model
     dense = np.zeros(1 << BITS, np.float32)
@@ -100,7 +119,7 @@ def _scorer(model: tuple[np.ndarray, np.ndarray, float]):
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for each row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -116,7 +135,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs``, with all columns unchanged, that score below the threshold."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", max_rows)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows=max_rows))
 
     def run(batches):
         scores = _scorer(shared.value)
@@ -128,5 +147,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score(docs, fit(labelled_sample(docs, labels, "toxic", MAX_ROWS)))
+    scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
