@@ -23,7 +23,7 @@ FOLD_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 #: Text bytes gathered before a block is worked on.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def fold_ascii(column: Column) -> Column:

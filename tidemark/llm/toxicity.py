@@ -20,7 +20,7 @@ from tidemark.llm.labelled import held_out, labelled_rows
 from tidemark.llm.textops import FOLD_WORDS, WordCache, as_bytes, blocks, mix, ragged, small_batches
 
 BITS = 20
-MAX_ROWS = 16_000
+MAX_ROWS = 12_000
 THRESHOLD = 0.3
 #: Features of fewer sample rows are left out.
 LEAST_ROWS = 3
@@ -75,7 +75,8 @@ def learn(rows: list[tuple[np.ndarray, int]], epochs: int = 6) -> Model:
     model, seen = Ftrl(), np.zeros(1 << BITS, np.int32)
     for at, _ in rows:
         seen[at] += 1
-    rows = [(at[seen[at] >= LEAST_ROWS], y) for at, y in rows]  # what one row alone has can't be learned
+    for i, (at, y) in enumerate(rows):  # in place: what one row alone has can't be learned
+        rows[i] = (at[seen[at] >= LEAST_ROWS], y)
     order = np.random.default_rng(11)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
