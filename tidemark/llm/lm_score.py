@@ -30,7 +30,7 @@ REACH, WIDTH, HIDDEN = 2, 16, 32
 #: Embeddings are shared by buckets that agree on these low bits.
 SHARED = 1 << 13
 MASK = 8
-BATCH, RATE = 2048, 0.1
+BATCH, RATE = 256, 0.5
 #: Weights travel as rows of so many whole numbers of 1 / UNIT.
 ROW, UNIT = 32, 1 << 12
 
@@ -75,7 +75,7 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.cumsum(smooth[order]) - smooth[order]
     kind = np.zeros(BUCKETS, np.int64)
     kind[order] = np.minimum((before / smooth.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-    return kind, (np.log(smooth) - np.log(np.bincount(kind, smooth, CLASSES))[kind]).astype(np.float32)
+    return kind, (np.log(smooth) - np.log(np.maximum(np.bincount(kind, smooth, CLASSES), 1))[kind]).astype(np.float32)
 
 
 class WindowNetwork:
@@ -83,9 +83,12 @@ class WindowNetwork:
 
     SHAPES = ((SHARED + 1, WIDTH), (2 * REACH * WIDTH, HIDDEN), (1, HIDDEN), (HIDDEN, CLASSES), (1, CLASSES))
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, prior: np.ndarray | None = None):
+        """``prior``: how often each class occurs; where the softmax starts from."""
         draw = np.random.default_rng(3)
         self.p = [draw.normal(0, 0.5 if i == 0 else 1 / np.sqrt(s[0]), s).astype(np.float32) * (s[0] > 1) for i, s in enumerate(self.SHAPES)]
+        if prior is not None:
+            self.p[4] = np.log((prior + 1) / (prior + 1).sum()).astype(np.float32).reshape(1, -1)
         if flat is not None:
             cuts = np.cumsum([a * b for a, b in self.SHAPES])[:-1]
             self.p = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat[: self.size()], cuts), self.SHAPES, strict=True)]
@@ -121,22 +124,24 @@ class WindowNetwork:
         self.p[0][at[order][first]] -= rate * 10 * np.add.reduceat(gx[order], first, axis=0)
 
 
-def train(docs: DataFrame, kind: np.ndarray) -> WindowNetwork:
+def train(docs: DataFrame, kind: np.ndarray, counts: np.ndarray) -> WindowNetwork:
     """Copies trained by partition on masked words of all documents, and averaged."""
     names = [f"w{i}" for i in range(ROW)]
+    prior = np.bincount(kind, counts, CLASSES)
     shared = docs.sparkSession.sparkContext.broadcast(kind)
 
     def run(batches):
-        words_hash, net, classes, seen = WordCache(), WindowNetwork(), shared.value, 0
+        words_hash, net, classes, seen = WordCache(), WindowNetwork(prior=prior), shared.value, 0
         for block in blocks(batches):
             h, b, lengths = word_buckets(as_bytes(block["text"]), words_hash)
             around = contexts(b, lengths)
-            # masked by a hash of the word and its neighbours
-            salt = h + around.sum(axis=1).astype(np.uint64) if len(h) else h
+            offsets, owner = ragged(lengths)
+            place = (np.arange(len(h)) - offsets[owner]).astype(np.uint64)
+            salt = h + mix(place + np.repeat(np.add.reduceat(h, offsets[:-1][lengths > 0]), lengths[lengths > 0])) if len(h) else h  # of word, place and document
             picked = np.flatnonzero(mix(salt) % np.uint64(MASK) == 0)
             for at in range(0, len(picked), BATCH):
                 some = picked[at : at + BATCH]
-                net.learn(around[some], classes[b[some]], RATE * 5 / (1 + seen / 2e6))
+                net.learn(around[some], classes[b[some]], RATE / (1 + seen / 2e6))
                 seen += len(some)
         if seen:
             flat = np.zeros(-(-net.size() // ROW) * ROW)
@@ -147,14 +152,14 @@ def train(docs: DataFrame, kind: np.ndarray) -> WindowNetwork:
     local = docs.mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
     rows = local.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()  # the network's size
     if not rows:
-        return WindowNetwork()
+        return WindowNetwork(prior=prior)
     flat = np.zeros((len(rows), ROW))
     for row in rows:
         flat[row[0]] = np.array(row[2:], float) / (UNIT * row[1])
     return WindowNetwork(flat.ravel())
 
 
-def _slices(n: int, size: int = 1 << 15) -> Iterator[slice]:
+def _slices(n: int, size: int = 1 << 12) -> Iterator[slice]:
     return (slice(i, i + size) for i in range(0, n, size))
 
 
@@ -162,8 +167,9 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """(doc_id, n_words, log_prob, mean_log_prob) for each row."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kind, within = classes_of(corpus_counts(source))
-    shared = docs.sparkSession.sparkContext.broadcast((kind, within, train(source, kind).flat()))
+    counts = corpus_counts(source)
+    kind, within = classes_of(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((kind, within, train(source, kind, counts).flat()))
 
     def run(batches):
         classes, inside, flat = shared.value
