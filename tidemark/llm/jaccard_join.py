@@ -4,10 +4,11 @@ A document's set is its distinct word n-grams. Documents of equal sets are one n
 sketch toggles, for each shingle, one bit of a very wide bit string (its hash), so the Hamming
 distance of two sketches is at most the symmetric difference of the sets. Sets of sizes a and b
 that reach the threshold differ in at most D = (a + b)(1 - t) / (1 + t) shingles. Size bands fix
-D; the sketch of a band's sets is cut into more than D parts, so by the pigeonhole principle two
-linked sets have an equal part, and parts are kept as a hash of their toggled bits. (Parts of fewer
-than two shingles say little. Where D and a set's number of such parts leave a fuller equal part
-certain, they are not joined on; that depends only on the part, so both sets agree on it.)
+D; the sketch of a band's sets is cut into P > D parts, so by the pigeonhole principle two linked
+sets have at least P - D equal parts, and parts are kept as a hash of their toggled bits. A set is
+joined only on the D + 1 greatest of its parts, ordered by the number of shingles they hold and then
+by hash: that depends on the part alone, so the greatest of the equal parts is among those of both
+sets. Empty parts and parts of one shingle, which say little, are so the first to go.
 
 1. Parts are counted over the corpus, pre-aggregated; those of one node only drop out, by a bitmap
    of bounded size where it still filters, else by a join.
@@ -41,9 +42,11 @@ from tidemark.llm.textops import FOLD, WordCache, as_bytes, blocks, grams, mix,
 from tidemark.session import materialize
 
 #: Upper size of each band over its lower one.
-BAND = 1.5
+BAND = 1.2
 #: Bits of the dense sketch that checks pairs, for each shingle; and the fewest of a sketch.
 DENSE, LEAST_DENSE = 4, 1024
+#: The same of the short sketch that is moved with the members of a part.
+SHORT, LEAST_SHORT = 1, 256
 #: Nodes of a part that are compared within one task at a time.
 CELL = 256
 
@@ -66,19 +69,12 @@ class Plan:
 
     @cache  # noqa: B019  lives as long as the task
     def parts(self, band: int) -> tuple[int, int]:
-        """(parts, D) of a band: enough parts that D and the usual number of thin parts fit in."""
+        """(parts, D) of a band: as many parts as make the D + 1 fullest of them least common."""
         low, high = self.bounds(band)
         d = self.difference(high + high * self.den // self.num)
         if d == 0:
             return 0, 0
-        p = d + 1
-        while p <= 2 * d:
-            tau = low / p
-            thin = (1 + tau) * np.exp(-tau)
-            if p - d > p * thin + 3 * np.sqrt(p * thin * (1 - thin)):
-                return p, d
-            p += max(1, d // 50)
-        return d + 1, d
+        return min(range(d + 1, 3 * d + 2, max(1, d // 20)), key=lambda p: commonness(low, p, d + 1)), d
 
     @cache  # noqa: B019
     def bands_of(self, size: int) -> tuple[int, ...]:
@@ -93,6 +89,19 @@ class Plan:
         return tuple(out)
 
 
+def commonness(size: int, parts: int, keep: int) -> float:
+    """How common the ``keep`` fullest of the parts of a set of this size are: each shingle in one divides it by eight."""
+    mean, left, total = size / parts, float(keep), 0.0
+    chance = [np.exp(-mean)]
+    for k in range(1, int(mean + 8 * np.sqrt(mean)) + 8):
+        chance.append(chance[-1] * mean / k)
+    for k in range(len(chance) - 1, -1, -1):
+        take = min(left, parts * chance[k])
+        total += take * 8.0**-k
+        left -= take
+    return total + left
+
+
 def shingle_set(words: list[bytes], n: int, words_hash: WordCache) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
@@ -109,9 +118,9 @@ def set_digest(shingles: np.ndarray) -> int:
     return int(signed(mix(folded))[0])
 
 
-def dense_sketch(shingles: np.ndarray) -> bytes:
+def bit_sketch(shingles: np.ndarray, dense: int = DENSE, least: int = LEAST_DENSE) -> bytes:
     """A parity sketch of a power of two of bits; the low bits of a shingle's hash are its place."""
-    size = max(LEAST_DENSE, 1 << int(DENSE * max(1, len(shingles)) - 1).bit_length())
+    size = max(least, 1 << int(dense * max(1, len(shingles)) - 1).bit_length())
     bits = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -136,10 +145,10 @@ def _nodes(source: DataFrame, n: int) -> DataFrame:
         for block in blocks(batches):
             sets = sets_of(block, n, words_hash)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": block["doc_id"].combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([set_digest(s) for s in sets], pa.int64()), "sketch": pa.array([dense_sketch(s) for s in sets], pa.binary())}
+                {"doc_id": block["doc_id"].combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([set_digest(s) for s in sets], pa.int64()), "sketch": pa.array([bit_sketch(s) for s in sets], pa.binary()), "short": pa.array([bit_sketch(s, SHORT, LEAST_SHORT) for s in sets], pa.binary())}
             )
 
-    return source.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    return source.mapInArrow(run, "doc_id long, n long, node long, sketch binary, short binary")
 
 
 def part_keys(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +168,14 @@ def part_keys(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarra
         parity = np.zeros(offsets[-1], np.uint64)
         np.bitwise_xor.at(parity, at, mix(h ^ np.uint64(0x2545F4914F6CDD1D)))
         held = np.bincount(at, minlength=offsets[-1])
-        thin = held < 2
-        sure = np.add.reduceat(thin, offsets[:-1]) < counts - most  # a fuller equal part is certain
-        use = ~(thin & sure[owner])
         band = np.array([b for _, b in some], np.uint64)[owner]
         place = band * np.uint64(1 << 32) + (np.arange(offsets[-1]) - offsets[owner]).astype(np.uint64)
         key = mix(parity + mix(place) + held.astype(np.uint64))
+        # the D + 1 greatest by shingles held, then by hash; what ties with the last of them stays too
+        rank = (np.minimum(held, 255).astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
+        order = np.sort((owner.astype(np.uint64) << np.uint64(48)) | rank)
+        least = order[offsets[1:] - most - 1] & np.uint64((1 << 48) - 1)
+        use = rank >= least[owner]
         out_key.append(key[use])
         out_set.append(np.array([i for i, _ in some])[owner[use]])
     return np.concatenate(out_key), np.concatenate(out_set)
@@ -249,19 +260,19 @@ def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, n: int, num:
 
 
 def _cells(rest: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key but no component and may link by size and sketch.
+    """Pairs (a, b) of nodes that share a key but no component and may link by size and short sketch.
 
     Large parts are compared block against block: a task holds two blocks of about CELL nodes.
     """
     sized = rest.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    placed = rest.join(sized, "key").join(nodes.select("node", "n", "sketch"), "node")
+    placed = rest.join(sized, "key").join(nodes.select("node", "n", "short"), "node")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("cells")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    grouped = spread.select("key", "node", "component", "n", "sketch", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    grouped = spread.select("key", "node", "component", "n", "short", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
         node, comp, size, mine = (table[c].to_numpy() for c in ("node", "component", "n", "mine"))
-        raw = table["sketch"].to_pylist()
+        raw = table["short"].to_pylist()
         sketch = np.array([folded(x, min(map(len, raw))) for x in raw])  # sizes in a part are alike
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
@@ -301,7 +312,8 @@ def node_components(source: DataFrame, nodes: DataFrame, n: int, num: int, den:
     rest = materialize(inner.join(mixed, "key"), "rest")
     if rest.limit(1).count() == 0:
         return found
-    more = _verify(materialize(_cells(rest, nodes, num, den).distinct(), "pairs"), nodes, source, n, num, den)
+    near = materialize(_cells(rest, nodes, num, den).distinct(), "near")
+    more = _verify(materialize(_close_enough(near, nodes, num, den), "pairs"), nodes, source, n, num, den)
     return connected_components(links.unionByName(more))
 
 
@@ -310,7 +322,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(_nodes(source, n), "nodes")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     nodes = materialize(nodes, "sets")
     found = node_components(source, nodes, n, num, den)
     named = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
