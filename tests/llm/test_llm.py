@@ -147,6 +147,23 @@ def test_jaccard_brute_force(spark, n, num):
     assert got == brute_components(texts, n, num, 100)
 
 
+def test_jaccard_in_small_blocks_and_rounds(spark, monkeypatch):
+    """A large group of near copies, edited lightly to heavily, whose parts take several blocks and rounds."""
+    monkeypatch.setattr(jaccard_join, "CELL", 8)
+    monkeypatch.setattr(jaccard_join, "FIRST", 1)
+    monkeypatch.setattr(jaccard_join, "GROWTH", 3)
+    draw = random.Random(4)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for i in range(150):
+        words = list(base)
+        for _ in range(draw.randrange(1, 10)):
+            words[draw.randrange(60)] = f"z{draw.randrange(4)}"
+        texts.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts), 3, 80, 100).collect()}
+    want = brute_components(texts, 3, 80, 100)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
 def test_jaccard_cases(spark, odd):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd).collect()}
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == got[5] == (1, 4) and got[7] == (29_996, 6)

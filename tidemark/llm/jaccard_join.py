@@ -12,19 +12,23 @@ sets. Empty parts and parts of one shingle, which say little, are so the first t
 
 1. Parts are counted over the corpus, pre-aggregated; those of one node only drop out, by a bitmap
    of bounded size where it still filters, else by a join.
-2. Within each remaining part every node is paired with the least and the greatest node, which makes
-   twice as many pairs as nodes. Pairs are checked by size and by dense parity sketches of at least
-   DENSE bits a shingle, then verified on the whole texts, and linked nodes united into components.
-3. Parts whose other nodes are still of several components are compared in blocks of bounded
-   size, only between components; what passes the sketch is verified and united too.
+2. Within each remaining part every node is paired with the least node and with the most central
+   one, which has most parts in common with others; that makes twice as many pairs as nodes. Pairs
+   are checked by size and by dense parity sketches of at least DENSE bits a shingle, then verified
+   on the whole texts, and linked nodes united into components.
+3. Parts whose other nodes are still of several components are compared in blocks of bounded size,
+   only between components, by short sketches, in rounds. In a round a node proposes its nearest
+   few; they are verified and united, and where some block had more to propose a round of more
+   follows, without the pairs already verified, until no block holds anything back.
 Every pair of nodes that share a part is so either compared or already connected: no link that
-matters to a component is lost, and a group of any size gives no more pairs than members in step 2.
+matters to a component is lost, and a group of any size gives a round a few pairs a member.
 
 Shingles are compared by 64-bit hashes and sets by 64-bit digests.
 
 Defined cases: null and wordless texts have empty sets and link with nothing; a text of fewer than n
-words has one shingle, all its words; a null id takes no part in a component's name but is linked;
-rows that repeat are nodes of equal sets; empty tables give an empty result.
+words has one shingle, all its words; a row of null id links only where a row with an id has an equal
+set, and names no component; rows that repeat are nodes of equal sets; empty tables give an empty
+result.
 """
 
 from __future__ import annotations
@@ -46,9 +50,15 @@ BAND = 1.2
 #: Bits of the dense sketch that checks pairs, for each shingle; and the fewest of a sketch.
 DENSE, LEAST_DENSE = 4, 1024
 #: The same of the short sketch that is moved with the members of a part.
-SHORT, LEAST_SHORT = 1, 256
-#: Nodes of a part that are compared within one task at a time.
-CELL = 256
+SHORT, LEAST_SHORT = 1, 1024
+#: Shingles that are cut into parts at a time (or one set), and words whose hashes a task keeps: they
+#: bound the memory of a Python worker.
+PARTED, WORDS_KEPT = 1 << 17, 100_000
+BLOCK = 2 << 20
+#: Nodes of a part that are compared within one task at a time are two blocks of about so many.
+CELL = 1024
+#: Pairs that a node proposes in the first round of a block, and by how much that grows.
+FIRST, GROWTH = 2, 8
 
 
 class Plan:
@@ -141,8 +151,8 @@ def sets_of(block: pa.Table, n: int, words_hash: WordCache) -> list[np.ndarray]:
 
 def _nodes(source: DataFrame, n: int) -> DataFrame:
     def run(batches):
-        words_hash = WordCache()
-        for block in blocks(batches):
+        words_hash = WordCache(most=WORDS_KEPT)
+        for block in blocks(batches, most=BLOCK):
             sets = sets_of(block, n, words_hash)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": block["doc_id"].combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([set_digest(s) for s in sets], pa.int64()), "sketch": pa.array([bit_sketch(s) for s in sets], pa.binary()), "short": pa.array([bit_sketch(s, SHORT, LEAST_SHORT) for s in sets], pa.binary())}
@@ -151,14 +161,17 @@ def _nodes(source: DataFrame, n: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n long, node long, sketch binary, short binary")
 
 
-def part_keys(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(key, which set) of the sketch parts that the sets are joined on."""
-    out_key, out_set = [], []
+def part_keys(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, which set, which set and band) of the sketch parts that the sets are joined on."""
+    out_key, out_set, out_job = [], [], []
     jobs = [(i, band) for i, s in enumerate(sets) if len(s) for band in plan.bands_of(len(s)) if plan.parts(band)[0]]
     if not jobs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for lo in range(0, len(jobs), 4096):
-        some = jobs[lo : lo + 4096]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before = np.cumsum([len(sets[i]) for i, _ in jobs])
+    cuts = np.searchsorted(before, np.arange(PARTED, before[-1], PARTED)) + 1
+    bounds = np.unique(np.concatenate([[0], cuts, [len(jobs)]])).tolist()
+    for lo, end in zip(bounds[:-1], bounds[1:], strict=True):
+        some = jobs[lo:end]
         counts = np.array([plan.parts(band)[0] for _, band in some], np.int64)
         most = np.array([plan.parts(band)[1] for _, band in some], np.int64)
         offsets, owner = ragged(counts)
@@ -178,29 +191,34 @@ def part_keys(sets: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, np.ndarra
         use = rank >= least[owner]
         out_key.append(key[use])
         out_set.append(np.array([i for i, _ in some])[owner[use]])
-    return np.concatenate(out_key), np.concatenate(out_set)
+        out_job.append(lo + owner[use])
+    return np.concatenate(out_key), np.concatenate(out_set), np.concatenate(out_job)
 
 
 def _keys(source: DataFrame, n: int, num: int, den: int, bitmap: np.ndarray | None, counted: bool) -> DataFrame:
-    """(key, node), each set once a block; or with ``counted`` (key, c) alone."""
+    """(key, node, shared), each set once a block; or with ``counted`` (key, c) alone.
+
+    shared is how many parts the node has in common with others in the key's band, as the bitmap tells.
+    """
     shared = source.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        words_hash, plan, bits = WordCache(), Plan(num, den), shared.value
-        for block in blocks(batches):
+        words_hash, plan, bits = WordCache(most=WORDS_KEPT), Plan(num, den), shared.value
+        for block in blocks(batches, most=BLOCK):
             unique = {set_digest(s): s for s in sets_of(block, n, words_hash)}
             ids = np.fromiter(unique, np.int64, len(unique))
-            key, at = part_keys(list(unique.values()), plan)
+            key, at, job = part_keys(list(unique.values()), plan)
             if bits is not None and len(key):
                 hit = filters.probe(bits, key)
-                key, at = key[hit], at[hit]
+                key, at, job = key[hit], at[hit], job[hit]
             if counted:
                 key, c = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": signed(key), "c": c})
             else:
-                yield pa.RecordBatch.from_pydict({"key": signed(key), "node": ids[at] if len(at) else np.zeros(0, np.int64)})
+                found = ids[at] if len(at) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"key": signed(key), "node": found, "shared": pa.array(np.bincount(job)[job], pa.int32())})
 
-    return source.mapInArrow(run, "key long, c long" if counted else "key long, node long")
+    return source.mapInArrow(run, "key long, c long" if counted else "key long, node long, shared int")
 
 
 def _close_enough(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -236,7 +254,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, n: int, num:
     texts = wanted.join(likely.withColumnRenamed("doc_id", "doc"), "doc").select("node", "text")
     # rows that repeat an id may differ in text: the one of the node's set is told by its digest
     def own(batches):
-        words_hash = WordCache()
+        words_hash = WordCache(most=WORDS_KEPT)
         for batch in batches:
             if batch.num_rows:
                 sets = sets_of(pa.Table.from_batches([batch]), n, words_hash)
@@ -247,7 +265,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, n: int, num:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
-        words_hash = WordCache()
+        words_hash = WordCache(most=WORDS_KEPT)
         for batch in batches:
             keep = []
             for ta, tb in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
@@ -259,34 +277,64 @@ def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, n: int, num:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _cells(rest: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key but no component and may link by size and short sketch.
+def _nearest(cell: pa.Table, num: int, den: int, most: int) -> list[np.ndarray]:
+    """(a, b, more) for two blocks of a part: for each node of the first its ``most`` nearest of the second.
 
-    Large parts are compared block against block: a task holds two blocks of about CELL nodes.
+    more tells that the node had others to propose.
+    """
+    node, comp, size, mine = (cell[c].to_numpy() for c in ("node", "component", "n", "mine"))
+    i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    if not len(left) or not len(right) or (comp == comp[0]).all():
+        return []
+    raw = cell["short"].to_pylist()
+    width = min(map(len, raw))
+    sketch = np.array([folded(x, width) for x in raw])  # sizes in a part are alike
+    out = []
+    for x in left:
+        y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) | (i != j))]
+        y = y[np.minimum(size[y], size[x]) * den >= np.maximum(size[y], size[x]) * num]
+        apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        ok = apart * (den + num) <= (size[y] + size[x]) * (den - num)
+        y, apart = y[ok], apart[ok]
+        if len(y):
+            near = y[np.lexsort((node[y], apart))[:most]]
+            out.append(np.stack([np.minimum(node[x], node[near]), np.maximum(node[x], node[near]), np.full(len(near), len(y) > most)]))
+    return out
+
+
+def _cells(rest: DataFrame, nodes: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Pairs (a, b, more) of nodes that share a key but no component and may link by size and short sketch.
+
+    Large parts are compared block against block; a task holds one pair of blocks at a time.
     """
-    sized = rest.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    sized = materialize(rest.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")), "sizes")
     placed = rest.join(sized, "key").join(nodes.select("node", "n", "short"), "node")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("cells")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    grouped = spread.select("key", "node", "component", "n", "short", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, comp, size, mine = (table[c].to_numpy() for c in ("node", "component", "n", "mine"))
-        raw = table["short"].to_pylist()
-        sketch = np.array([folded(x, min(map(len, raw))) for x in raw])  # sizes in a part are alike
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out_a, out_b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) | (i != j))]
-            apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            y = y[(apart * (den + num) <= (size[y] + size[x]) * (den - num)) & (np.minimum(size[y], size[x]) * den >= np.maximum(size[y], size[x]) * num)]
-            out_a.append(np.minimum(node[x], node[y]))
-            out_b.append(np.maximum(node[x], node[y]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
-
-    return grouped.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    grouped = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "n", "short", "mine")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            where = [table[c].to_numpy() for c in ("key", "i", "j")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in where], axis=0)) + 1
+            bounds = [0, *cuts.tolist()]
+            held = table.slice(bounds[-1])
+            yield from pairs_of(table.slice(lo, hi - lo) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))
+        if held is not None and held.num_rows:
+            yield from pairs_of([held])
+
+    def pairs_of(cells):
+        found = [x for cell in cells for x in _nearest(cell, num, den, most)]
+        if found:
+            a, b, more = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "more": more > 0})
+
+    placed = grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return placed.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def node_components(source: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -300,21 +348,32 @@ def node_components(source: DataFrame, nodes: DataFrame, n: int, num: int, den:
     else:
         keys = _keys(source, n, num, den, bitmap, counted=False)
     keys = materialize(keys.distinct(), "parts")
-    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    spans = materialize(keys.join(ends, "key"), "spans")
-    star = spans.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(spans.select(F.col("node").alias("a"), F.col("hi").alias("b")))
-    star = star.filter("a < b").distinct()
-    links = materialize(_verify(materialize(_close_enough(star, nodes, num, den), "pairs"), nodes, source, n, num, den), "links")
-    found = connected_components(links)
+    central = F.max(F.struct("shared", "node"))["node"].alias("hub")
+    # written, so that the join has an exchange on either side and Spark can split a large part
+    ends = materialize(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), central).filter("lo < hi").drop("hi"), "ends")
+    spans = materialize(keys.select("key", "node").join(ends, "key"), "spans")
+    star = spans.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    star = star.unionByName(spans.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
+    tried = materialize(_close_enough(star, nodes, num, den), "pairs")
+    links = materialize(_verify(tried, nodes, source, n, num, den), "links")
+    found, most = connected_components(links), FIRST
     # parts whose nodes, apart from the two that all were paired with, are of several components
-    inner = spans.filter("node <> lo AND node <> hi").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = inner.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rest = materialize(inner.join(mixed, "key"), "rest")
-    if rest.limit(1).count() == 0:
-        return found
-    near = materialize(_cells(rest, nodes, num, den).distinct(), "near")
-    more = _verify(materialize(_close_enough(near, nodes, num, den), "pairs"), nodes, source, n, num, den)
-    return connected_components(links.unionByName(more))
+    inner = spans.filter("node <> lo AND node <> hub").select("key", "node")
+    while True:
+        inner = inner.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = materialize(inner.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "mixed")
+        rest = materialize(inner.join(mixed, "key"), "rest")
+        if rest.isEmpty():
+            return found
+        near = materialize(_cells(rest, nodes, num, den, most), "near")
+        fresh = materialize(_close_enough(near.join(tried, ["a", "b"], "left_anti"), nodes, num, den), "pairs")
+        more = materialize(_verify(fresh, nodes, source, n, num, den), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = connected_components(links)
+        if near.filter("more").isEmpty():
+            return found
+        tried, most, inner = tried.unionByName(fresh), most * GROWTH, rest.select("key", "node")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
