@@ -7,6 +7,7 @@ import zipfile
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidemark.llm import decontam, exact_dedup, jaccard_join, langid, lm_score, mixing, quality, queries, substring_dedup, toxicity, warc
 from tidemark.llm.components import connected_components
@@ -213,6 +214,15 @@ def test_lm_beats_shuffled_words(spark):
     assert got[5000]["n_words"] == 0 and got[5000]["log_prob"] == 0 and got[5000]["mean_log_prob"] is None
 
 
+def test_lm_tells_words_of_like_hashes_apart(spark):
+    """A word that occurs once isn't as likely as a frequent one whose hash ends in the same 16 bits."""
+    end = lambda w: xxhash.xxh64_intdigest(w) & 0xFFFF
+    rare = next(w for w in (f"w{i}" for i in range(1_000_000)) if end(w) == end("often"))
+    texts = [(i, "often") for i in range(300)] + [(300 + i, f"x{i}") for i in range(300)] + [(1000, rare)]
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.pseudo_likelihood(frame(spark, texts)).collect()}
+    assert got[0] > got[1000] + 1 and abs(got[1000] - np.mean([got[300 + i] for i in range(300)])) < 1
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -1,14 +1,23 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every word from both sides.
 
 log p(word | REACH words on either side) = log p(class | context) + log p(word | class). Words are
-hashed to BUCKETS; buckets are put in CLASSES of about equal frequency, which with p(word | class)
-comes from counts over all documents. p(class | context) is a network of word embeddings, one
+told apart by 64-bit hashes and counted over all documents, in a table that grows with the corpus;
+they are put in CLASSES of about equal frequency, by count and then by hash, and p(word | class) is
+by those counts. p(class | context) is a network of word embeddings, one
 hidden layer and a softmax, in numpy: every partition trains a copy on masked words of each of its
 documents (a hash picks one word in MASK) and the copies are averaged, weighted by their words. The
 sums are whole numbers added up by Spark, so the result doesn't depend on their order.
 
+1. Texts are cut into words a block at a time and written as places in the block's vocabulary, with
+   that vocabulary's hashes and counts.
+2. Vocabularies are added up to the corpus counts. Words that occur once in the corpus are those
+   without a row there, so the others alone are joined back to the blocks that hold them.
+3. Blocks meet the counts of their words and are written as embedding rows and classes, which
+   training and scoring read.
+
 A document's score is the sum over all of its words, and its mean for a word. What is collected and
-broadcast is the counts and the weights, of fixed size.
+broadcast is the weights, of fixed size, and how many words occur how often: with N words in the
+corpus no more than sqrt(2 N) rows.
 
 Defined cases: null and wordless texts have no words, sum 0 and a null mean; a repeated row is
 scored like the first; an empty table gives an empty result.
@@ -20,14 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.textops import WordCache, as_bytes, blocks, mix, ragged, small_batches
+from tidemark.llm import filters
+from tidemark.llm.textops import WordCache, as_bytes, blocks, mix, ragged, signed, small_batches
+from tidemark.session import materialize
 
-BUCKETS, CLASSES = 1 << 16, 64
+CLASSES = 64
 REACH, WIDTH, HIDDEN = 2, 16, 32
-#: Embeddings are shared by buckets that agree on these low bits.
+#: Embeddings are shared by words whose hashes agree on these low bits.
 SHARED = 1 << 13
 MASK = 8
 BATCH, RATE = 256, 0.5
@@ -35,47 +47,139 @@ BATCH, RATE = 256, 0.5
 ROW, UNIT = 32, 1 << 12
 
 
-def word_buckets(texts: list[bytes | None], words_hash: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, bucket, words of each text)."""
-    found = [(t or b"").split() for t in texts]
-    h = np.concatenate([words_hash.hashes(w) for w in found] or [np.zeros(0, np.uint64)])
-    return h, (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.fromiter(map(len, found), np.int64, len(found))
-
-
-def contexts(buckets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def contexts(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Embedding rows of the words on either side; SHARED stands for none."""
     _, owner = ragged(lengths)
-    out = np.full((len(buckets), 2 * REACH), SHARED, np.int64)
-    for gap in range(1, min(REACH, len(buckets) - 1) + 1):
+    out = np.full((len(rows), 2 * REACH), SHARED, np.int64)
+    for gap in range(1, min(REACH, len(rows) - 1) + 1):
         near = owner[gap:] == owner[:-gap]
-        out[gap:, REACH - gap] = np.where(near, buckets[:-gap] & (SHARED - 1), SHARED)
-        out[:-gap, REACH + gap - 1] = np.where(near, buckets[gap:] & (SHARED - 1), SHARED)
+        out[gap:, REACH - gap] = np.where(near, rows[:-gap], SHARED)
+        out[:-gap, REACH + gap - 1] = np.where(near, rows[gap:], SHARED)
     return out
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    def run(batches):
-        words_hash, sums = WordCache(), np.zeros(BUCKETS, np.int64)
-        for block in blocks(batches):
-            sums += np.bincount(word_buckets(as_bytes(block["text"]), words_hash)[1], minlength=BUCKETS)
-        used = np.flatnonzero(sums)
-        if len(used):
-            yield pa.RecordBatch.from_pydict({"bucket": used, "c": sums[used]})
-
-    out = np.zeros(BUCKETS, np.int64)
-    for bucket, c in docs.mapInArrow(run, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # BUCKETS rows at most
-        out[bucket] = c
-    return out
+def _blocks_of_words(source: DataFrame) -> DataFrame:
+    """Documents as places in the vocabulary of their block; the block's first one holds its hashes and counts."""
 
+    def run(batches):
+        words_hash, base = WordCache(), TaskContext.get().partitionId() << 32
+        for number, block in enumerate(blocks(batches)):
+            found = [(t or b"").split() for t in as_bytes(block["text"])]
+            offsets, _ = ragged(np.fromiter(map(len, found), np.int64, len(found)))
+            h, at, c = np.unique(np.concatenate([words_hash.hashes(w) for w in found]), return_inverse=True, return_counts=True)
+            at = at.astype(np.int32)
+            first = [(h.tobytes(), c.astype(np.int32).tobytes())] + [(None, None)] * (len(found) - 1)
+            for some in _slices(len(found), 256):
+                place, ids = np.arange(len(found))[some], block["doc_id"].slice(some.start, 256).combine_chunks()
+                packed = [at[offsets[i] : offsets[i + 1]].tobytes() for i in place]
+                hashes, times = zip(*first[some], strict=True)
+                yield pa.RecordBatch.from_pydict(
+                    {"block": np.full(len(place), base + number), "place": place, "doc_id": ids, "words": pa.array(packed, pa.binary()), "hashes": pa.array(hashes, pa.binary()), "times": pa.array(times, pa.binary())}
+                )
+
+    return source.mapInArrow(run, "block long, place long, doc_id long, words binary, hashes binary, times binary")
+
+
+def _vocabularies(cut: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(shard, slot, h, c): a row for each distinct word of a block, or for those that the bitmap holds."""
+    shared = cut.sparkSession.sparkContext.broadcast(bitmap)
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, log p(bucket | class)) of each bucket, with one added to every count."""
-    smooth = counts + 1.0
-    order = np.lexsort((np.arange(BUCKETS), -counts))
-    before = np.cumsum(smooth[order]) - smooth[order]
-    kind = np.zeros(BUCKETS, np.int64)
-    kind[order] = np.minimum((before / smooth.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-    return kind, (np.log(smooth) - np.log(np.maximum(np.bincount(kind, smooth, CLASSES), 1))[kind]).astype(np.float32)
+    def run(batches):
+        for batch in batches:
+            for block, hashes, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h, c = np.frombuffer(hashes, np.uint64), np.frombuffer(times, np.int32)
+                slot = np.arange(len(h), dtype=np.int32)
+                if shared.value is not None:
+                    slot = np.flatnonzero(filters.probe(shared.value, h)).astype(np.int32)
+                for some in _slices(len(slot)):
+                    at = slot[some]
+                    yield pa.RecordBatch.from_pydict({"shard": np.full(len(at), block), "slot": at, "h": signed(h[at]), "c": c[at].astype(np.int64)})
+
+    return cut.filter("hashes IS NOT NULL").select("block", "hashes", "times").mapInArrow(run, "shard long, slot int, h long, c long")
+
+
+def corpus_counts(cut: DataFrame) -> DataFrame:
+    """(h, c) of every word that occurs more than once in the corpus."""
+    return materialize(_vocabularies(cut).groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"), "counts")
+
+
+def levels_of(counts: DataFrame, n_words: int) -> np.ndarray:
+    """Every count that occurs and how many words have it, greatest first."""
+    levels = np.array(counts.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).collect(), np.int64).reshape(-1, 2)
+    once = n_words - (levels[:, 0] * levels[:, 1]).sum()
+    return np.concatenate([levels, np.array([[1, once]], np.int64)])
+
+
+def classes_of(h: np.ndarray, c: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Classes of about equal frequency, with one added to every count; words of one count are dealt by hash.
+
+    ``levels``: every count that occurs and of how many words, greatest first.
+    """
+    mass = (levels[:, 0] + 1.0) * levels[:, 1]
+    before = np.cumsum(mass) - mass
+    level = np.searchsorted(-levels[:, 0], -c)
+    rank = np.floor((h.view(np.uint64) >> np.uint64(11)) / float(1 << 53) * levels[level, 1])
+    return np.minimum(((before[level] + rank * (c + 1)) / mass.sum() * CLASSES).astype(np.int64), CLASSES - 1)
+
+
+def _coded(cut: DataFrame, counts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(doc_id, rows, kinds, inside): embedding rows and classes of a document's words, and the sum of log (count + 1)."""
+    shared = cut.sparkSession.sparkContext.broadcast(levels)
+    bitmap = filters.to_numpy(filters.bitmap_rows(counts.select(filters.slot(F.col("h"), filters.MAX_BITS).alias("slot"))), filters.MAX_BITS)
+    if filters.share_set(bitmap) > filters.USEFUL_SHARE:
+        bitmap = None
+    known = _vocabularies(cut, bitmap).drop("c").join(counts, "h").select("shard", "slot", "c")
+    # a number of partitions that doesn't depend on sizes as written, so that training sees the same rows each time
+    parts = max(1, cut.filter("hashes IS NOT NULL").count() // 2)
+
+    def run(texts: pa.Table, repeated: pa.Table) -> pa.Table:
+        texts = texts.sort_by("place")
+        h = np.frombuffer(texts["hashes"][0].as_py(), np.uint64)
+        c = np.ones(len(h), np.int64)
+        c[repeated["slot"].to_numpy()] = repeated["c"].to_numpy()
+        row, kind, inside = (h & np.uint64(SHARED - 1)).astype(np.uint16), classes_of(h, c, shared.value).astype(np.uint8), np.log(c + 1.0)
+        found = [np.frombuffer(x, np.int32) for x in texts["words"].to_pylist()]
+        return pa.table(
+            {"doc_id": texts["doc_id"], "rows": pa.array([row[x].tobytes() for x in found], pa.binary()), "kinds": pa.array([kind[x].tobytes() for x in found], pa.binary()), "inside": pa.array([inside[x].sum() for x in found], pa.float64())}
+        )
+
+    left = cut.select("block", "place", "doc_id", "words", "hashes").repartition(parts, "block").groupBy("block")
+    return left.cogroup(known.repartition(parts, "shard").groupBy("shard")).applyInArrow(run, "doc_id long, rows binary, kinds binary, inside double")
+
+
+def class_sums(coded: DataFrame, counts: DataFrame, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each class its words in the corpus, and the sum of (count + 1) over its distinct ones."""
+    shared = coded.sparkSession.sparkContext.broadcast(levels)
+
+    def corpus(batches):
+        sums = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            sums += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8), minlength=CLASSES)
+        yield pa.RecordBatch.from_pydict({"kind": np.arange(CLASSES), "words": sums, "mass": np.zeros(CLASSES, np.int64)})
+
+    def repeated(batches):
+        sums = np.zeros((2, CLASSES), np.int64)
+        for batch in batches:
+            h, c = (batch.column(i).to_numpy() for i in (0, 1))
+            kind = classes_of(h, c, shared.value)
+            np.add.at(sums[0], kind, c)
+            np.add.at(sums[1], kind, c + 1)
+        # what is left of a class's words occurs once, with a count of 2 after adding one
+        yield pa.RecordBatch.from_pydict({"kind": np.arange(CLASSES), "words": np.zeros(CLASSES, np.int64), "mass": sums[1] - 2 * sums[0]})
+
+    schema = "kind long, words long, mass long"
+    both = coded.select("kinds").mapInArrow(corpus, schema).unionByName(counts.mapInArrow(repeated, schema))
+    words, mass = np.zeros(CLASSES), np.zeros(CLASSES)
+    for kind, n, m in both.groupBy("kind").agg(F.sum("words"), F.sum("mass")).collect():  # CLASSES rows at most
+        words[kind], mass[kind] = n, m + 2 * n
+    return words, mass
+
+
+def _words_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(embedding row, class, words of each text)."""
+    kinds = block["kinds"].to_pylist()
+    rows = np.frombuffer(b"".join(block["rows"].to_pylist()), np.uint16).astype(np.int64)
+    return rows, np.frombuffer(b"".join(kinds), np.uint8).astype(np.int64), np.fromiter(map(len, kinds), np.int64, len(kinds))
 
 
 class WindowNetwork:
@@ -124,24 +228,23 @@ class WindowNetwork:
         self.p[0][at[order][first]] -= rate * 10 * np.add.reduceat(gx[order], first, axis=0)
 
 
-def train(docs: DataFrame, kind: np.ndarray, counts: np.ndarray) -> WindowNetwork:
+def train(coded: DataFrame, prior: np.ndarray) -> WindowNetwork:
     """Copies trained by partition on masked words of all documents, and averaged."""
     names = [f"w{i}" for i in range(ROW)]
-    prior = np.bincount(kind, counts, CLASSES)
-    shared = docs.sparkSession.sparkContext.broadcast(kind)
 
     def run(batches):
-        words_hash, net, classes, seen = WordCache(), WindowNetwork(prior=prior), shared.value, 0
-        for block in blocks(batches):
-            h, b, lengths = word_buckets(as_bytes(block["text"]), words_hash)
-            around = contexts(b, lengths)
+        net, seen = WindowNetwork(prior=prior), 0
+        for block in blocks(batches, "rows"):
+            rows, kinds, lengths = _words_of(block)
+            around = contexts(rows, lengths)
             offsets, owner = ragged(lengths)
+            h = mix(rows.astype(np.uint64) * np.uint64(CLASSES) + kinds.astype(np.uint64))
             place = (np.arange(len(h)) - offsets[owner]).astype(np.uint64)
             salt = h + mix(place + np.repeat(np.add.reduceat(h, offsets[:-1][lengths > 0]), lengths[lengths > 0])) if len(h) else h  # of word, place and document
             picked = np.flatnonzero(mix(salt) % np.uint64(MASK) == 0)
             for at in range(0, len(picked), BATCH):
                 some = picked[at : at + BATCH]
-                net.learn(around[some], classes[b[some]], RATE / (1 + seen / 2e6))
+                net.learn(around[some], kinds[some], RATE / (1 + seen / 2e6))
                 seen += len(some)
         if seen:
             flat = np.zeros(-(-net.size() // ROW) * ROW)
@@ -149,7 +252,7 @@ def train(docs: DataFrame, kind: np.ndarray, counts: np.ndarray) -> WindowNetwor
             rows = np.rint(flat * UNIT * seen).astype(np.int64).reshape(-1, ROW)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), seen)), *(pa.array(rows[:, i]) for i in range(ROW))], names=["row", "n", *names])
 
-    local = docs.mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
+    local = coded.select("rows", "kinds").mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
     rows = local.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()  # the network's size
     if not rows:
         return WindowNetwork(prior=prior)
@@ -167,25 +270,28 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """(doc_id, n_words, log_prob, mean_log_prob) for each row."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = corpus_counts(source)
-    kind, within = classes_of(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((kind, within, train(source, kind, counts).flat()))
+    cut = materialize(_blocks_of_words(source), "words")
+    counts = corpus_counts(cut)
+    levels = levels_of(counts, cut.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4)
+    coded = materialize(_coded(cut, counts, levels), "coded")
+    prior, mass = class_sums(coded, counts, levels)
+    among = np.log(np.maximum(mass, 1))
+    shared = docs.sparkSession.sparkContext.broadcast(train(coded, prior).flat())
 
     def run(batches):
-        classes, inside, flat = shared.value
-        words_hash, net = WordCache(), WindowNetwork(flat)
-        for block in blocks(batches):
-            _, b, lengths = word_buckets(as_bytes(block["text"]), words_hash)
-            around, owner = contexts(b, lengths), ragged(lengths)[1]
-            score = inside[b].astype(np.float64)
-            for some in _slices(len(b)):
+        net = WindowNetwork(shared.value)
+        for block in blocks(batches, "rows"):
+            rows, kinds, lengths = _words_of(block)
+            around, owner = contexts(rows, lengths), ragged(lengths)[1]
+            score = np.zeros(len(rows))
+            for some in _slices(len(rows)):
                 logp = net.forward(around[some])[2]
-                score[some] += logp[np.arange(len(logp)), classes[b[some]]]
-            total = np.bincount(owner, score, len(lengths))
+                score[some] = logp[np.arange(len(logp)), kinds[some]] - among[kinds[some]]
+            total = np.bincount(owner, score, len(lengths)) + block["inside"].to_numpy()
             mean = pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)
             yield pa.RecordBatch.from_arrays([block["doc_id"].combine_chunks(), pa.array(lengths), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
-    return source.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return coded.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
