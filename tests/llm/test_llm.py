@@ -223,6 +223,13 @@ def test_lm_tells_words_of_like_hashes_apart(spark):
     assert got[0] > got[1000] + 1 and abs(got[1000] - np.mean([got[300 + i] for i in range(300)])) < 1
 
 
+def test_lm_learns_every_word(spark):
+    """Copies of one short text are all targets, so half of the words being the same one is learnt."""
+    texts = [(i, "often") for i in range(300)] + [(300 + i, f"x{i}") for i in range(300)]
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.pseudo_likelihood(frame(spark, texts)).collect()}
+    assert got[0] > -3
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

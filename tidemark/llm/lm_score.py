@@ -4,8 +4,9 @@ log p(word | REACH words on either side) = log p(class | context) + log p(word |
 told apart by 64-bit hashes and counted over all documents, in a table that grows with the corpus;
 they are put in CLASSES of about equal frequency, by count and then by hash, and p(word | class) is
 by those counts. p(class | context) is a network of word embeddings, one
-hidden layer and a softmax, in numpy: every partition trains a copy on masked words of each of its
-documents (a hash picks one word in MASK) and the copies are averaged, weighted by their words. The
+hidden layer and a softmax, in numpy: every partition trains a copy on all words of its documents,
+each masked once (a hash deals the words of a block to MASK disjoint masks, taken in turn), and the
+copies are averaged, weighted by their words. The
 sums are whole numbers added up by Spark, so the result doesn't depend on their order.
 
 1. Texts are cut into words a block at a time and written as places in the block's vocabulary, with
@@ -229,7 +230,7 @@ class WindowNetwork:
 
 
 def train(coded: DataFrame, prior: np.ndarray) -> WindowNetwork:
-    """Copies trained by partition on masked words of all documents, and averaged."""
+    """Copies trained by partition on every word of all documents, masked once, and averaged."""
     names = [f"w{i}" for i in range(ROW)]
 
     def run(batches):
@@ -241,9 +242,9 @@ def train(coded: DataFrame, prior: np.ndarray) -> WindowNetwork:
             h = mix(rows.astype(np.uint64) * np.uint64(CLASSES) + kinds.astype(np.uint64))
             place = (np.arange(len(h)) - offsets[owner]).astype(np.uint64)
             salt = h + mix(place + np.repeat(np.add.reduceat(h, offsets[:-1][lengths > 0]), lengths[lengths > 0])) if len(h) else h  # of word, place and document
-            picked = np.flatnonzero(mix(salt) % np.uint64(MASK) == 0)
-            for at in range(0, len(picked), BATCH):
-                some = picked[at : at + BATCH]
+            turn = np.argsort((mix(salt) % np.uint64(MASK)).astype(np.uint8), kind="stable")
+            for at in range(0, len(turn), BATCH):
+                some = turn[at : at + BATCH]
                 net.learn(around[some], kinds[some], RATE / (1 + seen / 2e6))
                 seen += len(some)
         if seen:
