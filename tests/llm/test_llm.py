@@ -165,6 +165,28 @@ def test_jaccard_in_small_blocks_and_rounds(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 20
 
 
+def test_jaccard_links_are_all_there(spark, monkeypatch):
+    """Also within a group that is one component: its links aren't only those that hold it together."""
+    monkeypatch.setattr(jaccard_join, "CELL", 8)
+    draw = random.Random(9)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for i in range(60):
+        words = list(base)
+        for _ in range(draw.randrange(1, 5)):
+            words[draw.randrange(60)] = f"z{draw.randrange(4)}"
+        texts.append((i, " ".join(words)))
+    texts += [(60 + i, t) for i, t in texts[:5]] + [(90, "one two"), (91, None)]
+    sets = {}
+    for i, t in texts:
+        w = (t or "").split()
+        s = frozenset(zip(*(w[k:] for k in range(min(3, len(w)))), strict=False))
+        sets.setdefault(s, i)
+    ids = [(i, s) for s, i in sets.items() if s]
+    want = sorted((x, y) for x, p in ids for y, q in ids if x < y and 100 * len(p & q) >= 80 * len(p | q))
+    got = sorted(map(tuple, jaccard_join.jaccard_links(frame(spark, texts), 3, 80, 100).collect()))
+    assert got == want and len(want) > 300
+
+
 def test_jaccard_cases(spark, odd):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd).collect()}
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == got[5] == (1, 4) and got[7] == (29_996, 6)

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by parity sketches: all links at or above a rational threshold, exactly.
+"""N-gram Jaccard join by parity sketches: components, or all links, of a rational threshold, exactly.
 
 A document's set is its distinct word n-grams. Documents of equal sets are one node. A node's parity
 sketch toggles, for each shingle, one bit of a very wide bit string (its hash), so the Hamming
@@ -23,6 +23,9 @@ sets. Empty parts and parts of one shingle, which say little, are so the first t
 Every pair of nodes that share a part is so either compared or already connected: no link that
 matters to a component is lost, and a group of any size gives a round a few pairs a member.
 
+That is for components. jaccard_links compares all nodes of each part after step 1, and so verifies
+and returns every link between different sets.
+
 Shingles are compared by 64-bit hashes and sets by 64-bit digests.
 
 Defined cases: null and wordless texts have empty sets and link with nothing; a text of fewer than n
@@ -337,8 +340,8 @@ def _cells(rest: DataFrame, nodes: DataFrame, num: int, den: int, most: int) ->
     return placed.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def node_components(source: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(node, component) for the nodes linked with another."""
+def _parts(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, node, shared) of the sketch parts that more than one node may have."""
     counts = _keys(source, n, num, den, None, counted=True).groupBy("key").agg(F.sum("c").alias("c")).filter("c > 1").select("key")
     shared = materialize(counts, "keys")
     slots = filters.bitmap_rows(shared.select(filters.slot(F.col("key"), filters.MAX_BITS).alias("slot")))
@@ -347,7 +350,12 @@ def node_components(source: DataFrame, nodes: DataFrame, n: int, num: int, den:
         keys = _keys(source, n, num, den, None, counted=False).join(shared, "key", "left_semi")
     else:
         keys = _keys(source, n, num, den, bitmap, counted=False)
-    keys = materialize(keys.distinct(), "parts")
+    return materialize(keys.distinct(), "parts")
+
+
+def node_components(source: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, component) for the nodes linked with another."""
+    keys = _parts(source, n, num, den)
     central = F.max(F.struct("shared", "node"))["node"].alias("hub")
     # written, so that the join has an exchange on either side and Spark can split a large part
     ends = materialize(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), central).filter("lo < hi").drop("hi"), "ends")
@@ -376,13 +384,34 @@ def node_components(source: DataFrame, nodes: DataFrame, n: int, num: int, den:
         tried, most, inner = tried.unionByName(fresh), most * GROWTH, rest.select("key", "node")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
+def _sets(docs: DataFrame, n: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(source, rows, nodes): ids and texts, what each row's set is, and the distinct sets that aren't empty."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(_nodes(source, n), "nodes")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
-    nodes = materialize(nodes, "sets")
+    return source, rows, materialize(nodes, "sets")
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b), a <= b: every link between different sets, each by its least id (a = b where rows of one id differ).
+
+    All pairs of nodes that share a part are compared, whatever links them already, so a group of k
+    linked sets takes k^2 comparisons. Sets that only rows of null id have are left out.
+    """
+    source, _, nodes = _sets(docs, n, id_col, text)
+    keys = _parts(source, n, num, den)
+    apart = keys.select("key", "node", F.col("node").alias("component"))  # each node on its own: none is skipped
+    near = materialize(_cells(apart, nodes, num, den, nodes.count()).select("a", "b"), "near")
+    links = _verify(materialize(_close_enough(near, nodes, num, den), "pairs"), nodes, source, n, num, den)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}"))
+    named = links.join(side("a"), "a").join(side("b"), "b")
+    return named.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
+    source, rows, nodes = _sets(docs, n, id_col, text)
     found = node_components(source, nodes, n, num, den)
     named = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
