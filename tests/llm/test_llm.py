@@ -187,6 +187,29 @@ def test_jaccard_links_are_all_there(spark, monkeypatch):
     assert got == want and len(want) > 300
 
 
+def test_jaccard_large_group_without_links(spark):
+    """5,000 copies of a template, each with words of its own: too far apart from each other by a little."""
+    draw = random.Random(6)
+    texts = []
+    for i in range(5000):
+        words = [f"w{k}" for k in range(80)]
+        for at in draw.sample(range(2, 78, 3), 4):
+            words[at] = f"own{i}x{at}"
+        texts.append((i, " ".join(words)))
+    near = list(texts[7][1].split())
+    near[0] = "z"
+    texts.append((5000, " ".join(near)))
+    got = jaccard_join.jaccard_components(frame(spark, texts), 3, 80, 100).filter("doc_id <> component_id").collect()
+    assert [(r["doc_id"], r["component_id"]) for r in got] == [(5000, 7)]
+
+
+def test_jaccard_keeps_other_texts_of_an_id(spark):
+    """A row goes for its own words, not for those of another row with its id."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = frame(spark, [(1, a), (2, a + " more"), (2, b), (3, None), (None, a + " more")])
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard_join.keep_one_of_each(docs).collect()) == sorted([(1, a), (2, b), (3, ""), (0, a + " more")])
+
+
 def test_jaccard_cases(spark, odd):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd).collect()}
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == got[5] == (1, 4) and got[7] == (29_996, 6)

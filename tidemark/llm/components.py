@@ -15,7 +15,8 @@ from tidemark.session import materialize
 def _star(edges: DataFrame, smaller: bool) -> DataFrame:
     """Connect each node's larger (or smaller) neighbours to the least node of its neighbourhood."""
     both = edges if smaller else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that the join has an exchange on either side and Spark can split a large neighbourhood
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = both.join(least, "u")
     if smaller:  # u > v in every edge
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
