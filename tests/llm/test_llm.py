@@ -72,6 +72,51 @@ def test_substring_dedup_brute_force(spark, window):
     assert got == brute_repeats(texts, window)
 
 
+@pytest.mark.parametrize("window,group", [(3, 20_000), (8, 20_000), (12, 2)])
+def test_maximal_repeats_brute_force(spark, monkeypatch, window, group):
+    """Also where all groups but the smallest get longer prefixes."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    draw = random.Random(window)
+    texts = [(i, " ".join(draw.choice("ab") for _ in range(draw.randrange(50)))) for i in range(30)]
+    texts += [(30 + i, t) for i, t in texts[:4]]
+    first, want = {}, []
+    for i, t in texts:
+        words, open_ = t.split(), None
+        for at in range(len(words) - window + 1):
+            there = first.setdefault(tuple(words[at : at + window]), (i, at))
+            if there == (i, at):
+                open_ = None
+            elif open_ and there == (open_[3], open_[4] + at - open_[1]):
+                open_[2] += 1
+            else:
+                open_ = [i, at, window, *there]
+                want.append(open_)
+    want = sorted(map(tuple, want))
+    found = substring_dedup.maximal_repeats(frame(spark, texts), window)
+    assert sorted(map(tuple, found.collect())) == want and want
+    assert {r["doc_id"]: r["kept"] for r in substring_dedup.remove_repeats(frame(spark, texts), window).collect()} == brute_repeats(texts, window)
+
+
+def test_suffix_tree_against_sorting():
+    draw = random.Random(2)
+    runs = [" ".join(draw.choice("ab") for _ in range(draw.randrange(4, 30))).encode() for _ in range(40)]
+    tree = substring_dedup.SuffixTree(runs, 4)
+    ends = np.repeat(tree.offsets[1:], np.diff(tree.offsets))
+    words = [w for r in runs for w in r.split()]
+    got = [words[i : ends[i]] for i in tree.suffixes]
+    assert len(got) == sum(len(r.split()) - 3 for r in runs)
+    for x, y, lcp in zip(got[:-1], got[1:], tree.lcp.tolist(), strict=True):
+        assert x[:lcp] == y[:lcp] and x[lcp : lcp + 1] != y[lcp : lcp + 1] or lcp == min(len(x), len(y))
+    node = tree.nodes(6)
+    assert all((x[:6] == y[:6] and len(x) > 5 and len(y) > 5) == (a == b) for (x, a), (y, b) in zip(list(zip(got, node))[:-1], list(zip(got, node))[1:], strict=True))
+
+
+def test_substring_dedup_removes_a_rows_own_words(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = sorted((r["doc_id"], r["kept"]) for r in substring_dedup.remove_repeats(frame(spark, [(1, a), (2, a), (2, b)])).collect())
+    assert got == [(1, a), (2, ""), (2, b)]
+
+
 def test_substring_dedup_cases(spark, odd):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(odd, 20).collect()}
     assert got[1] == (0, 0) and got[6] == (30_000, 0) and got[7] == (30_000, 30_000) and got[5] == (2, 0)
