@@ -155,11 +155,55 @@ def test_decontamination_cases(spark, odd):
     assert [(r["item_id"], r["start"], r["end"], r["kind"]) for r in near] == [("1", 1, 3, "near")]
 
 
-def test_decontamination_in_blocks_of_queries(spark, monkeypatch, sf_dir):
+def test_decontamination_few_phrases_at_a_time(spark, monkeypatch, sf_dir, tmp_path):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(decontam.contamination(docs, bench).collect())
-    monkeypatch.setattr(decontam, "QUERY_BYTES", 2000)
+    monkeypatch.setattr(decontam, "PHRASES", 7)
     assert sorted(decontam.contamination(docs, bench).collect()) == whole
+    decontam.build_index(docs, path=f"{tmp_path}/index")
+    kept = decontam.open_index(spark, f"{tmp_path}/index")  # an index that was stored is searched without the texts
+    phrases, _ = decontam._windows(bench, 10, "item_id", "text")
+    got = decontam.occurrences(kept, phrases).select("doc_id", "n_words", "hits")
+    assert sorted(got.collect()) == sorted((r["doc_id"], r["n_words"], r["hits"]) for r in whole)
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_matches_brute_force(spark, slop):
+    draw = random.Random(slop)
+    texts = [(i, " ".join(draw.choice("abcd") for _ in range(draw.randrange(25)))) for i in range(30)]
+    items = [(str(i), " ".join(draw.choice("abcd") for _ in range(n))) for i, n in enumerate([1, 2, 3, 3, 4, 5])]
+    want = []
+    for i, t in texts:
+        w = t.split()
+        for name, item in items:
+            q = item.split()
+            for k in range(max(1, len(q) - 2)):
+                p = q[k : k + 3]
+                ends = {}
+                for b in range(len(w)):  # the earliest end of a match from each begin, and the latest begin for each end
+                    if w[b] != p[0]:
+                        continue
+                    e = b
+                    for x in p[1:]:
+                        e = next((j for j in range(e + 1, len(w)) if w[j] == x), len(w))
+                        if e == len(w):
+                            break
+                    if e < len(w):
+                        ends[e] = b
+                exact = [b for b in range(len(w)) if w[b : b + len(p)] == p]
+                want += [(i, name, k, b, b + len(p) - 1, "exact") for b in exact]
+                want += [(i, name, k, b, e, "near") for e, b in ends.items() if slop and b not in exact and e - b + 1 - len(p) <= slop]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert sorted(map(tuple, decontam.matches(frame(spark, texts), bench, 3, slop).collect())) == sorted(want) and want
+
+
+def test_decontamination_odd_items(spark, odd):
+    bench = spark.createDataFrame([(None, "one two"), (None, "two"), ("b", "one"), ("a,b", None)], "item_id string, text string")
+    got = {r["doc_id"]: r["items"] for r in decontam.contamination(odd, bench).collect()}
+    assert got[4] == ["b", None] and got[2] == []
+    kept = decontam.decontaminate(odd.withColumnsRenamed({"row": "key", "digest": "bits"}), bench)
+    assert kept.columns[-2:] == ["key", "bits"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 6, 7, 8]
+    assert decontam.decontaminate(odd, bench.limit(0)).count() == odd.count() and decontam.decontaminate(odd.limit(0), bench).count() == 0
 
 
 def brute_components(texts, n, num, den):

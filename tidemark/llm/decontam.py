@@ -1,157 +1,290 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is cut into shards, blocks of whole documents of bounded size. Each shard stores the
-positional postings of the benchmark's vocabulary: for every term the ascending positions at which
-it stands in the shard. A phrase is found from its rarest term in the shard: that term's postings,
-less its offset in the phrase, are intersected with the offset-adjusted postings of the phrase's
-other terms, the rarer first. The benchmark is the query set; it goes to the shards in blocks of
-bounded size, and what the blocks find is merged for each document.
+1. Index. The corpus is cut into shards, blocks of whole documents of bounded size. Each shard's
+   positional postings, for every term the ascending positions at which it stands, are written to
+   the shared folder, or where a path says, with the shard's documents: one pass over the texts, and
+   the only one. Terms are told apart by 64-bit hashes.
+2. Queries. The distinct windows of the benchmark's items are phrases. The dictionary of the index
+   tells in which shards and how often their terms stand; a phrase goes to the shards that have its
+   rarest term, by a join, so a benchmark of any size takes one pass over the index.
+3. Search. A shard meets its phrases with the postings of benchmark terms alone. A phrase's
+   candidates are the postings of its rarest term there, less its offset; they are intersected
+   with the offset-adjusted postings of its other terms, the rarer first. In-order matches with
+   other words between come from the same lists.
 
 Defined cases: null and wordless texts have no words and match nothing; items without words are no
-queries; item texts that repeat count as items of their own; a repeated document row is judged as
-a row of its own; empty tables give an empty result or no hits; other columns are not read.
+queries; items without id count together as one item that is not named; item texts that repeat count
+as items of their own; a repeated document row is judged as a row of its own, and a row without id
+too; empty tables give an empty result or no hits; other columns are not read, and decontaminate
+keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.textops import FOLD_WORDS, as_bytes, blocks, lookup, ragged, small_batches
+from tidemark.llm import filters
+from tidemark.llm.textops import FOLD_WORDS, WordCache, as_bytes, blocks, ragged, signed, small_batches
+from tidemark.session import materialize
 
 WINDOW = 10
-#: Item text that one block of queries holds; it bounds what is broadcast at a time.
-QUERY_BYTES = 8 << 20
+#: Phrases that a shard is searched for at a time, and words whose hashes a task keeps: they bound its memory.
+PHRASES, WORDS_KEPT = 1 << 15, 100_000
+DOCS = "array<struct<doc_id:long,key:long,n_words:long>>"
+INDEX = f"shard long, docs {DOCS}, terms binary, ends binary, positions binary"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD_WORDS).split()
 
 
-@dataclass
-class Queries:
-    """The distinct windows of a block of items, grouped by length, as rows of term ids."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Writes and reads back a row for each shard, to ``path`` or else as a scratch table.
 
-    terms: dict[bytes, int]
-    phrases: dict[int, np.ndarray]
-    owners: dict[int, list[list[str]]]
-    starts: dict[int, list[list[tuple[str, int]]]]
-
-
-def compile_queries(items: list[tuple[object, bytes | None]], window: int = WINDOW) -> Queries:
-    terms: dict[bytes, int] = {}
-    found: dict[int, dict[tuple, list[tuple[str, int]]]] = {}
-    for item, text in items:
-        ids = [terms.setdefault(w, len(terms)) for w in words_of(text)]
-        size = min(window, len(ids))
-        for at in range(len(ids) - size + 1 if ids else 0):
-            found.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), []).append((str(item), at))
-    phrases = {n: np.array(list(x), np.int32).reshape(-1, n) for n, x in found.items()}
-    starts = {n: list(x.values()) for n, x in found.items()}
-    owners = {n: [sorted({i for i, _ in own}) for own in x] for n, x in starts.items()}
-    return Queries(terms, phrases, owners, starts)
-
-
-class Shard:
-    """Positional postings of the query vocabulary over a block of documents."""
+    docs: id, hash of the text and words of each row. terms: hashes, ascending; ends: where each
+    term's postings end among positions, which count words from the shard's first on.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
 
-    def __init__(self, texts: list[bytes | None], terms: dict[bytes, int]):
-        found = [words_of(t) for t in texts]
-        self.n_words = np.fromiter(map(len, found), np.int64, len(found))
-        self.offsets, self.doc = ragged(self.n_words)
-        self.ids = np.concatenate([lookup(terms, w) for w in found] or [np.zeros(0, np.int32)])
-        known = np.flatnonzero(self.ids >= 0)
-        self.postings = known[np.argsort(self.ids[known], kind="stable")]
-        self.at = np.searchsorted(self.ids[self.postings], np.arange(len(terms) + 1))
+    def run(batches):
+        words_hash, base = WordCache(most=WORDS_KEPT), TaskContext.get().partitionId() << 32
+        for number, block in enumerate(blocks(batches)):
+            found = [words_of(t) for t in as_bytes(block["text"])]
+            h = np.concatenate([words_hash.hashes(w) for w in found])
+            order = np.argsort(h, kind="stable").astype(np.int32)
+            ends = np.flatnonzero(np.diff(h[order], append=~h[order[-1:]])) + 1
+            rows = [block["doc_id"].combine_chunks(), block["key"].combine_chunks(), pa.array(list(map(len, found)), pa.int64())]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.StructArray.from_arrays(rows, names=["doc_id", "key", "n_words"]))
+            blobs = (h[order[ends - 1]].tobytes(), ends.astype(np.int32).tobytes(), order.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([base + number]), listed, *(pa.array([x], pa.binary()) for x in blobs)], names=["shard", "docs", "terms", "ends", "positions"])
+
+    rows = source.mapInArrow(run, INDEX)
+    if path is None:
+        return materialize(rows, "index")
+    rows.write.parquet(path)
+    return open_index(docs.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
+class Postings:
+    """Posting lists of a shard: ``terms`` ascending, ``ends`` of their lists among ``positions``."""
+
+    def __init__(self, lengths: np.ndarray, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray):
+        self.offsets, _ = ragged(lengths)
+        self.terms, self.positions = terms, positions
+        self.at = np.concatenate([[0], ends]).astype(np.int64)
+        # every posting as one number, ascending: a list holds a position if its number is there
+        self.keys = (np.repeat(np.arange(len(terms)), np.diff(self.at)) << 32) | positions
+
+    def only(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """terms, ends and positions of some of the lists."""
+        counts = np.diff(self.at)
+        return self.terms[keep], np.cumsum(counts[keep], dtype=np.int32), self.positions[np.repeat(keep, counts)]
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, side="right") - 1
+
+    def lists_of(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(list number of each term of each phrase, whether the phrase has all its terms here)."""
+        if not len(self.terms):
+            return np.zeros(phrases.shape, np.int64), np.zeros(len(phrases), bool)
+        at = np.minimum(np.searchsorted(self.terms, phrases), len(self.terms) - 1)
+        return at, (self.terms[at] == phrases).all(axis=1)
 
     def phrase_starts(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, start) of every exact occurrence within one document."""
-        size, counts = phrases.shape[1], np.diff(self.at)
-        rarity = counts[phrases]
-        live = np.flatnonzero(rarity.min(axis=1) > 0)
-        order = np.argsort(rarity[live], axis=1, kind="stable")
-        rarest = phrases[live, order[:, 0]]
-        n = counts[rarest]
-        offsets, owner = ragged(n)
-        rank = np.arange(offsets[-1]) - offsets[owner]
-        start = self.postings[self.at[rarest][owner] + rank] - order[owner, 0]
-        fits = (start >= 0) & (start + size <= len(self.ids))
+        at, there = self.lists_of(phrases)
+        live = np.flatnonzero(there)
+        at, size, counts = at[live], phrases.shape[1], np.diff(self.at)
+        order = np.argsort(counts[at], axis=1, kind="stable") if len(live) else at
+        rarest = at[np.arange(len(live)), order[:, 0]]
+        ends, owner = ragged(counts[rarest])
+        nth = np.arange(ends[-1]) - ends[owner]
+        start = self.positions[self.at[rarest][owner] + nth].astype(np.int64) - order[owner, 0]
+        fits = (start >= 0) & (start + size <= self.offsets[-1])
         owner, start = owner[fits], start[fits]
-        inside = self.doc[start] == self.doc[start + size - 1]
-        owner, start = owner[inside], start[inside]
-        for nth in range(1, size):  # the rarer terms first: most candidates go at once
+        for nth in range(1, size):  # the rarer lists first: most candidates go at once
             offset = order[owner, nth]
-            same = self.ids[start + offset] == phrases[live[owner], offset]
+            wanted = (at[owner, offset] << 32) | (start + offset)
+            same = self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted
             owner, start = owner[same], start[same]
-        return live[owner], start
+        inside = self.doc_of(start) == self.doc_of(start + size - 1)
+        return live[owner[inside]], start[inside]
 
     def near(self, phrase: np.ndarray, slop: int) -> list[tuple[int, int]]:
         """(start, end) of the shortest in-order matches of a phrase with at most ``slop`` other words between."""
-        if len(phrase) == 0 or np.diff(self.at)[phrase].min() == 0:
+        at, there = self.lists_of(phrase[None])
+        if not there[0]:
             return []
-        lists = [self.postings[self.at[t] : self.at[t + 1]] for t in phrase]
+        lists = [self.positions[self.at[t] : self.at[t + 1]] for t in at[0]]
         begin = end = lists[0]
         for other in lists[1:]:
             nth = np.searchsorted(other, end, side="right")
             ok = nth < len(other)
             begin, end = begin[ok], other[nth[ok]]
-        ok = (self.doc[begin] == self.doc[end]) & (end - begin + 1 - len(phrase) <= slop)
-        best = {e: b for b, e in zip(begin[ok].tolist(), end[ok].tolist(), strict=True)}  # the latest begin for each end
+        ok = (self.doc_of(begin) == self.doc_of(end)) & (end - begin + 1 - len(phrase) <= slop)
+        best = dict(zip(end[ok].tolist(), begin[ok].tolist(), strict=True))  # the latest begin for each end
         return sorted((b, e) for e, b in best.items())
 
 
-def covered(shard: Shard, starts: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    edge = np.zeros(len(shard.ids) + 1, np.int32)
-    for at, size in starts:
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + size, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _windows(benchmark: DataFrame, window: int, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(phrase, words) of the distinct windows, and (phrase, item, item_start) of each one."""
 
+    def run(batches):
+        words_hash = WordCache(most=WORDS_KEPT)
+        for batch in batches:
+            for item, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                h = signed(words_hash.hashes(words_of(data)))
+                size = min(window, len(h))
+                at = np.arange(len(h) - size + 1 if size else 0)
+                for some in (at[i : i + PHRASES] for i in range(0, len(at), PHRASES)):
+                    words = h[some[:, None] + np.arange(size)]
+                    cuts = pa.array(np.arange(len(some) + 1) * size, pa.int32())
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(some), pa.string()), "item_start": some.astype(np.int32), "words": pa.ListArray.from_arrays(cuts, pa.array(words.ravel()))})
+
+    source = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    found = materialize(source.mapInArrow(run, "item string, item_start int, words array<long>"), "windows")
+    phrases = materialize(found.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")  # numbered once, as written
+    return phrases, materialize(found.join(phrases, "words").select("phrase", "item", "item_start"), "owners")
+
+
+def _with_lists(index: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The index with the postings of some terms alone."""
+    shared = index.sparkSession.sparkContext.broadcast(bitmap)
 
-def query_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, bytes | None]]]:
-    held, size = [], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        data = (row["t"] or "").encode()
-        held.append((row["i"], data))
-        size += len(data)
-        if size >= QUERY_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    def run(batches):
+        for batch in batches:
+            for some in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                terms, ends, positions = (np.frombuffer(some.column(c)[0].as_py(), t) for c, t in ((2, np.uint64), (3, np.int32), (4, np.int32)))
+                lists = Postings(np.zeros(0, np.int64), terms, ends, positions).only(filters.probe(shared.value, terms))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array([x.tobytes()], pa.binary()) for x in lists)], names=["shard", "docs", "terms", "ends", "positions"])
 
+    return index.mapInArrow(run, INDEX)
 
-FOUND = "doc_id long, row_key long, n_words long, hits array<int>, items array<string>"
 
+def _dictionary(index: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(term, shard, c): how often some terms stand in each shard; positions are not read."""
+    shared = index.sparkSession.sparkContext.broadcast(bitmap)
 
-def _search(docs: DataFrame, items: list, window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    def run(batches):
+        for batch in batches:
+            for shard, terms, ends in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                terms, counts = np.frombuffer(terms, np.uint64), np.diff(np.frombuffer(ends, np.int32), prepend=0)
+                use = np.flatnonzero(filters.probe(shared.value, terms))
+                yield pa.RecordBatch.from_pydict({"term": signed(terms[use]), "shard": np.full(len(use), shard), "c": counts[use].astype(np.int64)})
+
+    return index.select("shard", "terms", "ends").mapInArrow(run, "term long, shard long, c long")
+
+
+def _search(index: DataFrame, phrases: DataFrame, found, schema: str) -> DataFrame:
+    """Shards and their phrases, gone through by ``found(docs, lists, blocks of phrases)``, which yields record batches."""
+    used = phrases.select(F.explode("words").alias("term")).distinct()
+    bits = filters.bits_for(used.count())
+    bitmap = filters.to_numpy(filters.bitmap_rows(used.select(filters.slot(F.col("term"), bits).alias("slot"))), bits)
+    places = materialize(_dictionary(index, bitmap), "terms")
+    totals = places.groupBy("term").agg(F.sum("c").alias("c"))
+    counted = phrases.select("phrase", "words", F.explode("words").alias("term")).join(totals, "term")
+    rarest = counted.groupBy("phrase", "words").agg(F.count("*").alias("n"), F.min(F.struct("c", "term"))["term"].alias("term")).filter(F.col("n") == F.size("words"))
+    sent = materialize(rarest.select("phrase", "words", "term"), "rarest").join(places.select("term", "shard"), "term")
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = _with_lists(index, bitmap).withColumns({"phrase": none("long"), "words": none("array<long>")})
+    asked = sent.select("shard", *(none(t).alias(c) for c, t in (("docs", DOCS), ("terms", "binary"), ("ends", "binary"), ("positions", "binary"))), "phrase", "words")
 
     def run(batches):
-        queries = compile_queries(shared.value, window)
-        for block in blocks(batches):
-            shard = Shard(as_bytes(block["text"]), queries.terms)
-            pairs: list[set[str]] = [set() for _ in range(block.num_rows)]
-            starts = []
-            for size, phrases in queries.phrases.items():
-                which, at = shard.phrase_starts(phrases)
-                starts.append((at, size))
-                for doc, phrase in zip(shard.doc[at].tolist(), which.tolist(), strict=True):
-                    pairs[doc].update(queries.owners[size][phrase])
-            hit = np.flatnonzero(covered(shard, starts))
-            cuts = np.searchsorted(hit, shard.offsets)
-            hits = [(hit[a:b] - o).tolist() for a, b, o in zip(cuts[:-1], cuts[1:], shard.offsets[:-1], strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": block["doc_id"].combine_chunks(), "row_key": block["row_key"].combine_chunks(), "n_words": shard.n_words, "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array([sorted(x) for x in pairs], pa.list_(pa.string()))}
-            )
-
-    return docs.mapInArrow(run, FOUND)
+        for head, rest in _shards(batches):
+            docs = head.column(1)[0].values
+            n_words = docs.field("n_words").to_numpy()
+            terms, ends, positions = (np.frombuffer(head.column(c)[0].as_py(), t) for c, t in ((2, np.uint64), (3, np.int32), (4, np.int32)))
+            yield from found(head.column(0)[0].as_py(), docs, Postings(n_words, terms, ends, positions), rest)
+
+    both = heads.unionByName(asked).repartition("shard").sortWithinPartitions("shard", F.col("phrase").asc_nulls_first())
+    return both.mapInArrow(run, schema)
+
+
+def _shards(batches) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """For each shard the row that holds its lists and its (numbers, words) of phrases of one length, some at a time."""
+    rows = (batch.slice(a, b - a) for batch in batches for a, b in _cuts(batch))
+    ahead = next(rows, None)
+
+    def phrases():
+        nonlocal ahead
+        held = []
+        while ahead is not None and ahead.column(5)[0].is_valid:
+            held.append(ahead)
+            ahead = next(rows, None)
+            if sum(x.num_rows for x in held) >= PHRASES:
+                yield from by_length(held)
+                held = []
+        yield from by_length(held)
+
+    def by_length(held):
+        if held:
+            number = np.concatenate([x.column(5).to_numpy() for x in held])
+            values = np.concatenate([x.column(6).flatten().to_numpy() for x in held]).view(np.uint64)
+            size = np.concatenate([x.column(6).value_lengths().to_numpy() for x in held])
+            offsets, _ = ragged(size)
+            for n in np.unique(size):
+                some = np.flatnonzero(size == n)
+                yield number[some], values[offsets[some][:, None] + np.arange(n)]
+
+    while ahead is not None:
+        head, ahead = ahead, next(rows, None)
+        rest = phrases()
+        yield head, rest
+        for _ in rest:  # whatever was not asked for
+            pass
+
+
+def _cuts(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """A batch in runs: a row with lists by itself, phrases of a shard together."""
+    n = batch.num_rows
+    if not n:
+        return []
+    shard, head = batch.column(0).to_numpy(), batch.column(5).is_null().to_numpy(zero_copy_only=False)
+    new = np.flatnonzero((shard[1:] != shard[:-1]) | head[1:] | head[:-1]) + 1
+    bounds = [0, *new.tolist(), n]
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+FOUND = "shard long, place long, doc_id long, key long, n_words long, hits array<int>, phrases array<long>"
+
+
+def occurrences(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """For each row of the corpus its words that any phrase covers (hits) and the phrases that occur."""
+
+    def found(shard, docs, lists, asked):
+        edge = np.zeros(lists.offsets[-1] + 1, np.int32)
+        pairs = []
+        for number, words in asked:
+            which, at = lists.phrase_starts(words)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + words.shape[1], -1)
+            pairs.append(np.stack([lists.doc_of(at), number[which]]))
+        hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        cuts = np.searchsorted(hit, lists.offsets)
+        place = np.repeat(np.arange(len(docs)), np.diff(cuts))
+        doc, phrase = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(docs), shard)), pa.array(np.arange(len(docs))), docs.field("doc_id"), docs.field("key"), docs.field("n_words"),
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((hit - lists.offsets[place]).astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(docs) + 1)), pa.int32()), pa.array(phrase)),
+            ],
+            names=["shard", "place", "doc_id", "key", "n_words", "hits", "phrases"],
+        )
+
+    return _search(index, phrases, found, FOUND)
 
 
 def contamination(
@@ -159,75 +292,64 @@ def contamination(
     id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """For each document row: doc_id, n_words, hits (word positions), items (ids as sorted strings)."""
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text).alias("text"))
-    parts = [_search(source, items, window) for items in query_blocks(benchmark, item_id, item_text)] or [_search(source, [], window)]
-    if len(parts) == 1:
-        return parts[0].drop("row_key")
-    # each block of queries has a row of each document: one row a document and block
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return merged.groupBy("doc_id", "row_key").agg(F.max("n_words").alias("n_words"), union("hits").alias("hits"), union("items").alias("items")).drop("row_key")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    phrases, owners = _windows(benchmark, window, item_id, item_text)
+    found = materialize(occurrences(build_index(docs, id_col, text), phrases), "found")
+    row = ["shard", "place"]
+    pairs = found.select(*row, F.explode("phrases").alias("phrase")).join(owners.select("phrase", "item").distinct(), "phrase").select(*row, "item").distinct()
+    items = pairs.groupBy(*row).agg(F.array_sort(F.transform(F.collect_list(F.struct("item")), lambda x: x["item"])).alias("items"))
+    named = F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    return found.join(items, row, "left").select("doc_id", "n_words", "hits", named)
+
+
+def matches(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0,
+    id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
     """Where item windows stand: (doc_id, item_id, item_start, start, end, kind), by word position.
 
     kind is "exact"; with ``slop`` also "near": in order, with up to that many other words between.
     """
-    small_batches(docs.sparkSession)
+    phrases, owners = _windows(benchmark, window, item_id, item_text)
+
+    def found(shard, docs, lists, asked):
+        for number, words in asked:
+            which, at = lists.phrase_starts(words)
+            exact = set(zip(which.tolist(), at.tolist(), strict=True))
+            spans = [(p, a, a + words.shape[1] - 1, "exact") for p, a in sorted(exact)]
+            if slop:
+                spans += [(p, a, e, "near") for p in range(len(words)) for a, e in lists.near(words[p], slop) if (p, a) not in exact]
+            if spans:
+                which, begin, end = (np.array(x, np.int64) for x in list(zip(*spans, strict=True))[:3])
+                doc = lists.doc_of(begin)
+                base = lists.offsets[doc]
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": docs.field("doc_id").take(pa.array(doc)), "phrase": number[which], "start": (begin - base).astype(np.int32), "end": (end - base).astype(np.int32), "kind": [x[3] for x in spans]}
+                )
+
+    spans = _search(build_index(docs, id_col, text), phrases, found, "doc_id long, phrase long, start int, end int, kind string")
+    return spans.join(owners, "phrase").select("doc_id", F.col("item").alias("item_id"), "item_start", "start", "end", "kind")
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+    id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, in which no item window occurs.
 
-    def search(items):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches):
-            queries = compile_queries(shared.value, window)
-            for block in blocks(batches):
-                shard, ids = Shard(as_bytes(block["text"]), queries.terms), block["doc_id"].to_pylist()
-                out = {k: [] for k in ("doc_id", "item_id", "item_start", "start", "end", "kind")}
-                for size, phrases in queries.phrases.items():
-                    exact = sorted(zip(*(x.tolist() for x in shard.phrase_starts(phrases)), strict=True))
-                    spans = [(p, a, a + size - 1, "exact") for p, a in exact]
-                    if slop:
-                        known = set(exact)
-                        spans += [(p, a, e, "near") for p, phrase in enumerate(phrases) for a, e in shard.near(phrase, slop) if (p, a) not in known]
-                    for p, a, e, kind in spans:
-                        doc = int(shard.doc[a])
-                        base = int(shard.offsets[doc])
-                        for item, at in queries.starts[size][p]:
-                            for k, v in zip(out, (ids[doc], item, at, a - base, e - base, kind), strict=True):
-                                out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id string, item_start int, start int, end int, kind string")
-
-    parts = [search(items) for items in query_blocks(benchmark, "item_id", "text")] or [search([])]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, unchanged, in which no item window occurs."""
-    small_batches(docs.sparkSession)
-    out = docs
-    for items in query_blocks(benchmark, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches, shared=shared):
-            queries = compile_queries(shared.value, window)
-            for block in blocks(batches):
-                shard = Shard(as_bytes(block["text"]), queries.terms)
-                clean = np.ones(block.num_rows, bool)
-                for phrases in queries.phrases.values():
-                    clean[shard.doc[shard.phrase_starts(phrases)[1]]] = False
-                yield from block.filter(pa.array(clean)).to_batches()
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    Rows are told apart by id and hash of the text. Those that can't be contaminated, as a bitmap
+    tells, pass straight through; only the others are moved.
+    """
+    phrases, _ = _windows(benchmark, window, item_id, item_text)
+    found = occurrences(build_index(docs, id_col, text), phrases).filter(F.size("hits") > 0)
+    hit = materialize(found.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).distinct(), "hits")
+    bits = filters.bits_for(hit.count())
+    slots = filters.bitmap_rows(hit.select(filters.slot(F.xxhash64("hit_id", "hit_key"), bits).alias("slot"))).select(F.col("bucket").alias("b"), "bits")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("key"))
+    whole = whole.withColumn("slot", filters.slot(F.xxhash64("id", "key"), bits))
+    marked = whole.join(F.broadcast(slots), F.bitmap_bucket_number("slot") == F.col("b"), "left")  # MAX_BITS / 8 bytes at most
+    maybe = filters.bit_set(F.col("bits"), F.col("slot"))
+    moved = marked.filter(maybe).join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left_anti")
+    return marked.filter(~maybe).select("row.*").unionByName(moved.select("row.*"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
