@@ -364,6 +364,59 @@ def test_lm_learns_every_word(spark):
     assert got[0] > -3
 
 
+def test_lm_does_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm_score, "UNIT", 20_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few, many = ({r["doc_id"]: r["log_prob"] for r in lm_score.pseudo_likelihood(docs.repartition(n)).collect()} for n in (4, 32))
+    assert few.keys() == many.keys() and max(abs(few[i] - many[i]) for i in few) < 1e-6
+
+
+def test_lm_brute_force_and_held_out(spark, sf_dir, monkeypatch):
+    """Scores by plain loops over words, and a likelihood of unseen documents above that of word counts."""
+    monkeypatch.setattr(lm_score, "FREQUENT", 500)  # so that many words are not frequent
+    bigger = sf_dir.replace("sf0.001", "sf0.01")
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{bigger}/documents.parquet").dropDuplicates(["text"]).orderBy("doc_id").collect()]
+    seen, unseen = [r for r in rows if r[0] % 5], [r for r in rows if r[0] % 5 == 0]
+    model, units = lm_score.fit(frame(spark, seen))
+    counts, lexicon, net = {}, model.lexicon, model.net
+    for _, t in seen:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values()) + len(counts) + lm_score.CELLS
+    h = lambda w: xxhash.xxh64_intdigest(w)
+    leaf = lambda w: int(lexicon.leaves(np.array([h(w)], np.uint64))[0][0])
+    mass = dict.fromkeys(range(lm_score.LEAVES), 0)
+    for w, c in counts.items():
+        mass[leaf(w)] += c + 1
+    for cell in range(lm_score.CELLS):
+        mass[int(lexicon.first + cell * (lm_score.LEAVES - lexicon.first) // lm_score.CELLS)] += 1
+    assert [mass[i] for i in range(lm_score.LEAVES)] == lexicon.mass.tolist() and len(lexicon.h) <= 500 < len(counts)
+    p = [x.astype(float) for x in net.p]
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def brute(words):
+        out = 0.0
+        for i, w in enumerate(words):
+            x = np.concatenate([p[0][h(words[j]) % lm_score.SHARED if 0 <= j < len(words) else lm_score.SHARED] for j in (i - 2, i - 1, i + 1, i + 2)])
+            hidden, (b, t) = np.tanh(x @ p[1] + p[2][0]), divmod(leaf(w), lm_score.BRANCHES)
+            out += np.log(softmax(hidden @ p[3] + p[4][0])[b]) + np.log(softmax(hidden @ p[5] + p[6][b])[t]) + np.log((counts.get(w, 0) + 1) / mass[leaf(w)])
+        return out
+
+    got = {r["doc_id"]: r["log_prob"] for r in model.score(frame(spark, unseen)).collect()}
+    for i, t in unseen[:10]:
+        assert abs(got[i] - brute(t.split())) < 1e-3 * max(1, len(t.split()))
+    by_count = sum(np.log((counts.get(w, 0) + 1) / total) for _, t in unseen for w in t.split())
+    n = sum(len(t.split()) for _, t in unseen)
+    print("held out, a word:", sum(got.values()) / n, by_count / n)
+    assert sum(got.values()) / n > by_count / n + 0.02
+
+
+def test_lm_on_an_empty_table(spark, odd):
+    assert lm_score.pseudo_likelihood(odd.limit(0)).count() == 0
+    got = {r["doc_id"]: (r["n_words"], r["mean_log_prob"]) for r in lm_score.pseudo_likelihood(odd).collect()}
+    assert got[1] == (0, None) and got[6][0] == 30_000 and got[6] == got[7] and got[None][0] == 2
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -1,298 +1,388 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every word from both sides.
 
-log p(word | REACH words on either side) = log p(class | context) + log p(word | class). Words are
-told apart by 64-bit hashes and counted over all documents, in a table that grows with the corpus;
-they are put in CLASSES of about equal frequency, by count and then by hash, and p(word | class) is
-by those counts. p(class | context) is a network of word embeddings, one
-hidden layer and a softmax, in numpy: every partition trains a copy on all words of its documents,
-each masked once (a hash deals the words of a block to MASK disjoint masks, taken in turn), and the
-copies are averaged, weighted by their words. The
-sums are whole numbers added up by Spark, so the result doesn't depend on their order.
-
-1. Texts are cut into words a block at a time and written as places in the block's vocabulary, with
-   that vocabulary's hashes and counts.
-2. Vocabularies are added up to the corpus counts. Words that occur once in the corpus are those
-   without a row there, so the others alone are joined back to the blocks that hold them.
-3. Blocks meet the counts of their words and are written as embedding rows and classes, which
-   training and scoring read.
+log p(word | REACH words on either side) is that of a path in a tree of words: a branch, a leaf of
+that branch, the word within its leaf. Words are told apart by 64-bit hashes and counted over all
+documents, in a table that grows with the corpus, and lie in the tree by frequency: leaves are of
+about equal frequency, so a frequent word has one of its own and the network predicts it down to the
+word; within the leaf of rarer words it is by the corpus counts. The network, in numpy, has
+embeddings of the words around, one hidden layer and a softmax for each step of the path.
+
+1. Texts are cut into words once, a block at a time, and written as places in the block's vocabulary.
+2. Vocabularies are added up to the corpus counts. The words of the highest counts, FREQUENT at most,
+   are broadcast; of the others a hash tells the leaf, and only those tokens meet their counts by a join.
+3. Documents are written as embedding rows and leaves, in units of about UNIT words that a hash of
+   id and text decides, whatever the partitions.
+4. Training goes in ROUNDS rounds. Every word of the corpus is masked, and predicted, in one of them.
+   In a round each unit goes on from the weights of the round before, and the units' weights are
+   averaged by their words, as sums of whole numbers: the result depends on neither order nor split.
 
 A document's score is the sum over all of its words, and its mean for a word. What is collected and
-broadcast is the weights, of fixed size, and how many words occur how often: with N words in the
-corpus no more than sqrt(2 N) rows.
+broadcast is the weights, of fixed size, FREQUENT words and a row for each of CELLS hashes and for
+each level of counts.
 
 Defined cases: null and wordless texts have no words, sum 0 and a null mean; a repeated row is
-scored like the first; an empty table gives an empty result.
+scored like the first; a word that the corpus lacks counts as one that occurs zero times; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import filters
 from tidemark.llm.textops import WordCache, as_bytes, blocks, mix, ragged, signed, small_batches
 from tidemark.session import materialize
 
-CLASSES = 64
+#: Branches of the tree, and leaves of each.
+BRANCHES = 32
+LEAVES = BRANCHES * BRANCHES
 REACH, WIDTH, HIDDEN = 2, 16, 32
 #: Embeddings are shared by words whose hashes agree on these low bits.
 SHARED = 1 << 13
-MASK = 8
-BATCH, RATE = 256, 0.5
-#: Weights travel as rows of so many whole numbers of 1 / UNIT.
-ROW, UNIT = 32, 1 << 12
+FREQUENT, CELLS = 1 << 18, 1 << 12
+ROUNDS, UNIT = 4, 1 << 20
+BATCH, RATE = 512, 0.5
+#: Words whose hashes a task keeps.
+WORDS_KEPT = 100_000
+#: Weights travel as rows of so many whole numbers of 1 / SCALE.
+ROW, SCALE = 32, 1 << 12
 
-
-def contexts(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Embedding rows of the words on either side; SHARED stands for none."""
-    _, owner = ragged(lengths)
-    out = np.full((len(rows), 2 * REACH), SHARED, np.int64)
-    for gap in range(1, min(REACH, len(rows) - 1) + 1):
-        near = owner[gap:] == owner[:-gap]
-        out[gap:, REACH - gap] = np.where(near, rows[:-gap], SHARED)
-        out[:-gap, REACH + gap - 1] = np.where(near, rows[gap:], SHARED)
-    return out
+DOCS = "array<struct<doc_id:long,key:long,n:int>>"
 
 
-def _blocks_of_words(source: DataFrame) -> DataFrame:
-    """Documents as places in the vocabulary of their block; the block's first one holds its hashes and counts."""
+def _cut(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """A row for each block: its documents, their words as places in its vocabulary, that vocabulary and its counts."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text)).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
-        words_hash, base = WordCache(), TaskContext.get().partitionId() << 32
-        for number, block in enumerate(blocks(batches)):
+        words_hash = WordCache(most=WORDS_KEPT)
+        for block in blocks(batches):
             found = [(t or b"").split() for t in as_bytes(block["text"])]
-            offsets, _ = ragged(np.fromiter(map(len, found), np.int64, len(found)))
             h, at, c = np.unique(np.concatenate([words_hash.hashes(w) for w in found]), return_inverse=True, return_counts=True)
-            at = at.astype(np.int32)
-            first = [(h.tobytes(), c.astype(np.int32).tobytes())] + [(None, None)] * (len(found) - 1)
-            for some in _slices(len(found), 256):
-                place, ids = np.arange(len(found))[some], block["doc_id"].slice(some.start, 256).combine_chunks()
-                packed = [at[offsets[i] : offsets[i + 1]].tobytes() for i in place]
-                hashes, times = zip(*first[some], strict=True)
-                yield pa.RecordBatch.from_pydict(
-                    {"block": np.full(len(place), base + number), "place": place, "doc_id": ids, "words": pa.array(packed, pa.binary()), "hashes": pa.array(hashes, pa.binary()), "times": pa.array(times, pa.binary())}
-                )
+            rows = [block["doc_id"].combine_chunks(), block["key"].combine_chunks(), pa.array(list(map(len, found)), pa.int32())]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.StructArray.from_arrays(rows, names=["doc_id", "key", "n"]))
+            places = at.astype(np.uint16 if len(h) <= 1 << 16 else np.uint32)
+            yield pa.RecordBatch.from_arrays([listed, *(pa.array([x.tobytes()], pa.binary()) for x in (places, h, c.astype(np.int32)))], names=["docs", "words", "hashes", "times"])
 
-    return source.mapInArrow(run, "block long, place long, doc_id long, words binary, hashes binary, times binary")
+    return source.mapInArrow(run, f"docs {DOCS}, words binary, hashes binary, times binary")
 
 
-def _vocabularies(cut: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(shard, slot, h, c): a row for each distinct word of a block, or for those that the bitmap holds."""
-    shared = cut.sparkSession.sparkContext.broadcast(bitmap)
+def corpus_counts(cut: DataFrame) -> DataFrame:
+    """(h, c) of every word of the corpus."""
 
     def run(batches):
         for batch in batches:
-            for block, hashes, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h, c = np.frombuffer(hashes, np.uint64), np.frombuffer(times, np.int32)
-                slot = np.arange(len(h), dtype=np.int32)
-                if shared.value is not None:
-                    slot = np.flatnonzero(filters.probe(shared.value, h)).astype(np.int32)
-                for some in _slices(len(slot)):
-                    at = slot[some]
-                    yield pa.RecordBatch.from_pydict({"shard": np.full(len(at), block), "slot": at, "h": signed(h[at]), "c": c[at].astype(np.int64)})
-
-    return cut.filter("hashes IS NOT NULL").select("block", "hashes", "times").mapInArrow(run, "shard long, slot int, h long, c long")
+            for hashes, times in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                yield pa.RecordBatch.from_pydict({"h": np.frombuffer(hashes, np.int64), "c": np.frombuffer(times, np.int32).astype(np.int64)})
+
+    return materialize(cut.select("hashes", "times").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+
+
+@dataclass
+class Lexicon:
+    """Where words lie in the tree: the frequent ones by hash, ascending, the others by the top bits of theirs."""
+
+    h: np.ndarray
+    c: np.ndarray
+    leaf: np.ndarray
+    first: int  # of the leaves that the others share
+    tokens: np.ndarray
+    mass: np.ndarray
+
+    def leaves(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, count) of words; the count of one that isn't frequent is -1."""
+        at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
+        known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
+        shared = self.first + ((h >> np.uint64(52)).astype(np.int64) * (LEAVES - self.first)) // CELLS
+        if not len(self.h):
+            return shared, np.full(len(h), -1)
+        return np.where(known, self.leaf[at], shared), np.where(known, self.c[at], -1)
+
+
+def lexicon_of(counts: DataFrame) -> Lexicon:
+    """Leaves of about equal frequency, with one added to every count."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((x, n) for x, n in counts.groupBy(level.alias("level")).agg(F.count("*")).collect()), reverse=True)  # 8 rows a power of two
+    least, held = 1 << 30, 0
+    for x, n in sizes:
+        if held + n > FREQUENT:
+            break
+        least, held = x, held + n
+    top = counts.filter(level >= least).select("h", "c").toArrow()  # FREQUENT rows at most
+    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    others = np.zeros((CELLS, 2), np.int64)
+    cell = F.shiftrightunsigned("h", 52)
+    for x, tokens, words in counts.filter(level < least).groupBy(cell.alias("cell")).agg(F.sum("c"), F.count("*")).collect():  # CELLS rows at most
+        others[x] = tokens, words
+    rest = others.sum() + CELLS  # one for a word that the corpus lacks, in each cell
+    first = LEAVES - max(1, min(LEAVES - 1, round(LEAVES * rest / (rest + (c + 1).sum()))))
+    order = np.lexsort((h, -c))
+    before = np.cumsum(c[order] + 1) - (c[order] + 1)
+    leaf = np.zeros(len(h), np.int64)
+    leaf[order] = before * first // max(1, (c + 1).sum())
+    order = np.argsort(h)
+    h, c, leaf = h[order], c[order], leaf[order]
+    of_cell = first + np.arange(CELLS) * (LEAVES - first) // CELLS
+    tokens = np.bincount(leaf, c, LEAVES) + np.bincount(of_cell, others[:, 0], LEAVES)
+    mass = np.bincount(leaf, c + 1, LEAVES) + np.bincount(of_cell, others.sum(axis=1) + 1, LEAVES)
+    return Lexicon(h, c, leaf, first, tokens, mass)
+
+
+UNITS = "unit long, part int, doc_id array<long>, n array<int>, inside array<double>, others array<int>, rows binary, leaves binary, other_words binary"
+
+
+def _units(cut: DataFrame, lexicon: Lexicon, n_words: int) -> DataFrame:
+    """Documents as embedding rows and leaves, packed into units.
+
+    inside is the sum of log (count + 1) of a document's frequent words, others how many it has of the others.
+    """
+    shared = cut.sparkSession.sparkContext.broadcast(lexicon)
 
+    def code(batches):
+        for batch in batches:
+            for docs, words, hashes in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                h, listed = np.frombuffer(hashes, np.uint64), docs.values
+                n = listed.field("n").to_numpy()
+                at = np.frombuffer(words, np.uint16 if len(h) <= 1 << 16 else np.uint32)
+                leaf, c = shared.value.leaves(h)
+                row, leaf, log = (h & np.uint64(SHARED - 1)).astype(np.uint16), leaf.astype(np.uint16), np.where(c < 0, 0, np.log(np.maximum(c, 0) + 1.0))
+                ends = np.cumsum(n)
+                spans = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
+                found = [at[a:b] for a, b in spans]
+                other = [h[x[c[x] < 0]] for x in found]
+                for i in range(0, len(found), 256):
+                    some = slice(i, i + 256)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": listed.field("doc_id")[some], "key": listed.field("key")[some], "n": n[some], "inside": [float(log[x].sum()) for x in found[some]], "others": pa.array([len(x) for x in other[some]], pa.int32()),
+                            "rows": pa.array([row[x].tobytes() for x in found[some]], pa.binary()), "leaves": pa.array([leaf[x].tobytes() for x in found[some]], pa.binary()), "other_words": pa.array([x.tobytes() for x in other[some]], pa.binary()),
+                        }
+                    )
+
+    cols = ["doc_id", "n", "inside", "others", "rows", "leaves", "other_words"]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+
+    def pack(batches):
+        held, size, unit, part = [], 0, None, 0
+
+        def packed():
+            lists = [pa.array([pa.concat_arrays([b.column(i) for b in held]).to_pylist()], k) for i, k in zip((2, 3, 4, 5), kinds, strict=True)]
+            blobs = [pa.array([b"".join(x for b in held for x in b.column(i).to_pylist())], pa.binary()) for i in (6, 7, 8)]
+            return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([part], pa.int32()), *lists, *blobs], names=["unit", "part", *cols])
 
-def corpus_counts(cut: DataFrame) -> DataFrame:
-    """(h, c) of every word that occurs more than once in the corpus."""
-    return materialize(_vocabularies(cut).groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1"), "counts")
+        for batch in batches:
+            units, words = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            for i in range(batch.num_rows):
+                if held and (units[i] != unit or size >= UNIT):
+                    yield packed()
+                    part = part + 1 if units[i] == unit else 0
+                    held, size = [], 0
+                unit = units[i]
+                held.append(batch.slice(i, 1))
+                size += int(words[i])
+        if held:
+            yield packed()
 
+    coded = cut.select("docs", "words", "hashes").mapInArrow(code, "doc_id long, key long, n int, inside double, others int, rows binary, leaves binary, other_words binary")
+    unit = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(max(1, n_words // UNIT))).alias("unit")
+    return coded.select(unit, "key", *cols).repartition("unit").sortWithinPartitions("unit", "key", "doc_id").mapInArrow(pack, UNITS)
 
-def levels_of(counts: DataFrame, n_words: int) -> np.ndarray:
-    """Every count that occurs and how many words have it, greatest first."""
-    levels = np.array(counts.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).collect(), np.int64).reshape(-1, 2)
-    once = n_words - (levels[:, 0] * levels[:, 1]).sum()
-    return np.concatenate([levels, np.array([[1, once]], np.int64)])
 
+def _words_of(rows: bytes, leaves: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(rows, np.uint16).astype(np.int32), np.frombuffer(leaves, np.uint16).astype(np.int32)
 
-def classes_of(h: np.ndarray, c: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Classes of about equal frequency, with one added to every count; words of one count are dealt by hash.
 
-    ``levels``: every count that occurs and of how many words, greatest first.
-    """
-    mass = (levels[:, 0] + 1.0) * levels[:, 1]
-    before = np.cumsum(mass) - mass
-    level = np.searchsorted(-levels[:, 0], -c)
-    rank = np.floor((h.view(np.uint64) >> np.uint64(11)) / float(1 << 53) * levels[level, 1])
-    return np.minimum(((before[level] + rank * (c + 1)) / mass.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-
-
-def _coded(cut: DataFrame, counts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc_id, rows, kinds, inside): embedding rows and classes of a document's words, and the sum of log (count + 1)."""
-    shared = cut.sparkSession.sparkContext.broadcast(levels)
-    bitmap = filters.to_numpy(filters.bitmap_rows(counts.select(filters.slot(F.col("h"), filters.MAX_BITS).alias("slot"))), filters.MAX_BITS)
-    if filters.share_set(bitmap) > filters.USEFUL_SHARE:
-        bitmap = None
-    known = _vocabularies(cut, bitmap).drop("c").join(counts, "h").select("shard", "slot", "c")
-    # a number of partitions that doesn't depend on sizes as written, so that training sees the same rows each time
-    parts = max(1, cut.filter("hashes IS NOT NULL").count() // 2)
-
-    def run(texts: pa.Table, repeated: pa.Table) -> pa.Table:
-        texts = texts.sort_by("place")
-        h = np.frombuffer(texts["hashes"][0].as_py(), np.uint64)
-        c = np.ones(len(h), np.int64)
-        c[repeated["slot"].to_numpy()] = repeated["c"].to_numpy()
-        row, kind, inside = (h & np.uint64(SHARED - 1)).astype(np.uint16), classes_of(h, c, shared.value).astype(np.uint8), np.log(c + 1.0)
-        found = [np.frombuffer(x, np.int32) for x in texts["words"].to_pylist()]
-        return pa.table(
-            {"doc_id": texts["doc_id"], "rows": pa.array([row[x].tobytes() for x in found], pa.binary()), "kinds": pa.array([kind[x].tobytes() for x in found], pa.binary()), "inside": pa.array([inside[x].sum() for x in found], pa.float64())}
-        )
-
-    left = cut.select("block", "place", "doc_id", "words", "hashes").repartition(parts, "block").groupBy("block")
-    return left.cogroup(known.repartition(parts, "shard").groupBy("shard")).applyInArrow(run, "doc_id long, rows binary, kinds binary, inside double")
-
-
-def class_sums(coded: DataFrame, counts: DataFrame, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each class its words in the corpus, and the sum of (count + 1) over its distinct ones."""
-    shared = coded.sparkSession.sparkContext.broadcast(levels)
-
-    def corpus(batches):
-        sums = np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            sums += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8), minlength=CLASSES)
-        yield pa.RecordBatch.from_pydict({"kind": np.arange(CLASSES), "words": sums, "mass": np.zeros(CLASSES, np.int64)})
+def contexts(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Embedding rows of the words on either side; SHARED stands for none."""
+    _, owner = ragged(lengths)
+    out = np.full((len(rows), 2 * REACH), SHARED, np.int32)
+    for gap in range(1, min(REACH, len(rows) - 1) + 1):
+        near = owner[gap:] == owner[:-gap]
+        out[gap:, REACH - gap] = np.where(near, rows[:-gap], SHARED)
+        out[:-gap, REACH + gap - 1] = np.where(near, rows[gap:], SHARED)
+    return out
 
-    def repeated(batches):
-        sums = np.zeros((2, CLASSES), np.int64)
-        for batch in batches:
-            h, c = (batch.column(i).to_numpy() for i in (0, 1))
-            kind = classes_of(h, c, shared.value)
-            np.add.at(sums[0], kind, c)
-            np.add.at(sums[1], kind, c + 1)
-        # what is left of a class's words occurs once, with a count of 2 after adding one
-        yield pa.RecordBatch.from_pydict({"kind": np.arange(CLASSES), "words": np.zeros(CLASSES, np.int64), "mass": sums[1] - 2 * sums[0]})
 
-    schema = "kind long, words long, mass long"
-    both = coded.select("kinds").mapInArrow(corpus, schema).unionByName(counts.mapInArrow(repeated, schema))
-    words, mass = np.zeros(CLASSES), np.zeros(CLASSES)
-    for kind, n, m in both.groupBy("kind").agg(F.sum("words"), F.sum("mass")).collect():  # CLASSES rows at most
-        words[kind], mass[kind] = n, m + 2 * n
-    return words, mass
+def _add_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray, rate: float) -> None:
+    """table[at] -= rate * values, with rows that repeat."""
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    table[at[order][first]] -= rate * np.add.reduceat(values[order], first, axis=0)
 
 
-def _words_of(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(embedding row, class, words of each text)."""
-    kinds = block["kinds"].to_pylist()
-    rows = np.frombuffer(b"".join(block["rows"].to_pylist()), np.uint16).astype(np.int64)
-    return rows, np.frombuffer(b"".join(kinds), np.uint8).astype(np.int64), np.fromiter(map(len, kinds), np.int64, len(kinds))
+class WindowNetwork:
+    """Embeddings of the context, a hidden layer of tanh units, a softmax over branches and one over a branch's leaves.
 
+    The second softmax has weights of its own and, for each branch, a bias for each leaf.
+    """
 
-class WindowNetwork:
-    """Embeddings of the context, a hidden layer of tanh units, a softmax over classes."""
+    SHAPES = ((SHARED + 1, WIDTH), (2 * REACH * WIDTH, HIDDEN), (1, HIDDEN), (HIDDEN, BRANCHES), (1, BRANCHES), (HIDDEN, BRANCHES), (BRANCHES, BRANCHES))
 
-    SHAPES = ((SHARED + 1, WIDTH), (2 * REACH * WIDTH, HIDDEN), (1, HIDDEN), (HIDDEN, CLASSES), (1, CLASSES))
+    def __init__(self, p: list[np.ndarray]):
+        self.p = p
 
-    def __init__(self, flat: np.ndarray | None = None, prior: np.ndarray | None = None):
-        """``prior``: how often each class occurs; where the softmax starts from."""
+    @classmethod
+    def start(cls, tokens: np.ndarray) -> WindowNetwork:
+        """Random embeddings; biases as frequent as the leaves are."""
         draw = np.random.default_rng(3)
-        self.p = [draw.normal(0, 0.5 if i == 0 else 1 / np.sqrt(s[0]), s).astype(np.float32) * (s[0] > 1) for i, s in enumerate(self.SHAPES)]
-        if prior is not None:
-            self.p[4] = np.log((prior + 1) / (prior + 1).sum()).astype(np.float32).reshape(1, -1)
-        if flat is not None:
-            cuts = np.cumsum([a * b for a, b in self.SHAPES])[:-1]
-            self.p = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat[: self.size()], cuts), self.SHAPES, strict=True)]
+        p = [draw.normal(0, 0.5 if i == 0 else 1 / np.sqrt(s[0]), s).astype(np.float32) * (i in (0, 1)) for i, s in enumerate(cls.SHAPES)]
+        by = tokens.reshape(BRANCHES, BRANCHES) + 1.0
+        p[4] = np.log(by.sum(axis=1, keepdims=True).T / by.sum()).astype(np.float32)
+        p[6] = np.log(by / by.sum(axis=1, keepdims=True)).astype(np.float32)
+        return cls(p)
 
     @classmethod
-    def size(cls) -> int:
-        return sum(a * b for a, b in cls.SHAPES)
+    def of(cls, flat: np.ndarray) -> WindowNetwork:
+        cuts = np.cumsum([a * b for a, b in cls.SHAPES])
+        return cls([x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat[: cuts[-1]], cuts[:-1]), cls.SHAPES, strict=True)])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p])
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.p[0][around].reshape(len(around), -1)
-        h = np.tanh(x @ self.p[1] + self.p[2])
-        out = h @ self.p[3] + self.p[4]
-        out -= out.max(axis=1, keepdims=True)
-        return x, h, out - np.log(np.exp(out).sum(axis=1, keepdims=True))
-
-    def learn(self, around: np.ndarray, kind: np.ndarray, rate: float) -> None:
-        x, h, logp = self.forward(around)
-        g = np.exp(logp)
-        g[np.arange(len(kind)), kind] -= 1
-        g /= len(kind)
-        gh = (g @ self.p[3].T) * (1 - h * h)
+        return x, np.tanh(x @ self.p[1] + self.p[2])
+
+    def steps(self, h: np.ndarray, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the branches, and of the leaves of the branch that the word is in."""
+        return h @ self.p[3] + self.p[4], h @ self.p[5] + self.p[6][branch]
+
+    def log_prob(self, around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each leaf given the words around."""
+        n, (branch, twig) = np.arange(len(leaf)), np.divmod(leaf, BRANCHES)
+        total = np.zeros(len(leaf), np.float32)
+        for out, at in zip(self.steps(self.hidden(around)[1], branch), (branch, twig), strict=True):
+            most = out.max(axis=1)
+            total += out[n, at] - most - np.log(np.exp(out - most[:, None]).sum(axis=1))
+        return total
+
+    def learn(self, around: np.ndarray, leaf: np.ndarray, rate: float) -> None:
+        n, (branch, twig) = np.arange(len(leaf)), np.divmod(leaf, BRANCHES)
+        x, h = self.hidden(around)
+        g = []
+        for out, at in zip(self.steps(h, branch), (branch, twig), strict=True):
+            out = np.exp(out - out.max(axis=1, keepdims=True))
+            out /= out.sum(axis=1, keepdims=True)
+            out[n, at] -= 1
+            g.append(out / len(n))
+        gh = (g[0] @ self.p[3].T + g[1] @ self.p[5].T) * (1 - h * h)
         gx = (gh @ self.p[1].T).reshape(-1, WIDTH)
-        self.p[3] -= rate * (h.T @ g)
-        self.p[4] -= rate * g.sum(axis=0, keepdims=True)
-        self.p[1] -= rate * (x.T @ gh)
-        self.p[2] -= rate * gh.sum(axis=0, keepdims=True)
-        at = around.ravel()
-        order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
-        self.p[0][at[order][first]] -= rate * 10 * np.add.reduceat(gx[order], first, axis=0)
-
-
-def train(coded: DataFrame, prior: np.ndarray) -> WindowNetwork:
-    """Copies trained by partition on every word of all documents, masked once, and averaged."""
-    names = [f"w{i}" for i in range(ROW)]
+        for i, d in ((1, x.T @ gh), (2, gh.sum(axis=0)), (3, h.T @ g[0]), (4, g[0].sum(axis=0)), (5, h.T @ g[1])):
+            self.p[i] -= rate * d
+        _add_rows(self.p[6], branch, g[1], rate)
+        _add_rows(self.p[0], around.ravel(), gx, rate * 10)
 
-    def run(batches):
-        net, seen = WindowNetwork(prior=prior), 0
-        for block in blocks(batches, "rows"):
-            rows, kinds, lengths = _words_of(block)
-            around = contexts(rows, lengths)
-            offsets, owner = ragged(lengths)
-            h = mix(rows.astype(np.uint64) * np.uint64(CLASSES) + kinds.astype(np.uint64))
-            place = (np.arange(len(h)) - offsets[owner]).astype(np.uint64)
-            salt = h + mix(place + np.repeat(np.add.reduceat(h, offsets[:-1][lengths > 0]), lengths[lengths > 0])) if len(h) else h  # of word, place and document
-            turn = np.argsort((mix(salt) % np.uint64(MASK)).astype(np.uint8), kind="stable")
-            for at in range(0, len(turn), BATCH):
-                some = turn[at : at + BATCH]
-                net.learn(around[some], kinds[some], RATE / (1 + seen / 2e6))
-                seen += len(some)
-        if seen:
-            flat = np.zeros(-(-net.size() // ROW) * ROW)
-            flat[: net.size()] = net.flat()
-            rows = np.rint(flat * UNIT * seen).astype(np.int64).reshape(-1, ROW)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), seen)), *(pa.array(rows[:, i]) for i in range(ROW))], names=["row", "n", *names])
-
-    local = coded.select("rows", "kinds").mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
-    rows = local.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()  # the network's size
-    if not rows:
-        return WindowNetwork(prior=prior)
-    flat = np.zeros((len(rows), ROW))
-    for row in rows:
-        flat[row[0]] = np.array(row[2:], float) / (UNIT * row[1])
-    return WindowNetwork(flat.ravel())
+
+def train(units: DataFrame, lexicon: Lexicon) -> WindowNetwork:
+    """Every word of every unit is a target in one round."""
+    names = [f"w{i}" for i in range(ROW)]
+    net = WindowNetwork.start(lexicon.tokens)
+    for number in range(ROUNDS):
+        shared = units.sparkSession.sparkContext.broadcast(net.flat())
+
+        def run(batches, shared=shared, number=number):
+            sums, seen = np.zeros(-(-len(shared.value) // ROW) * ROW, np.int64), 0
+            for batch in batches:
+                for unit, n, rows, leaves in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                    own, (rows, leaf), lengths = WindowNetwork.of(shared.value), _words_of(rows, leaves), n.values.to_numpy()
+                    around = contexts(rows, lengths)
+                    salt = mix(np.arange(len(rows), dtype=np.uint64) + (np.uint64(unit) << np.uint64(32)))
+                    turn = np.flatnonzero(salt % np.uint64(ROUNDS) == number)
+                    for at in range(0, len(turn), BATCH):
+                        some = turn[at : at + BATCH]
+                        own.learn(around[some], leaf[some], RATE / (1 + number))
+                    if len(rows):
+                        sums[: len(shared.value)] += np.rint(own.flat() * float(SCALE) * len(rows)).astype(np.int64)
+                        seen += len(rows)
+            if seen:
+                table = sums.reshape(-1, ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(np.full(len(table), seen)), *(pa.array(table[:, i]) for i in range(ROW))], names=["row", "n", *names])
+
+        local = units.select("unit", "n", "rows", "leaves").mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
+        rows = local.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()  # the network's size
+        if not rows:
+            break
+        flat = np.zeros((len(rows), ROW))
+        for row in rows:
+            flat[row[0]] = np.array(row[2:], float) / (float(SCALE) * row[1])
+        net = WindowNetwork.of(flat.ravel())
+    return net
 
 
 def _slices(n: int, size: int = 1 << 12) -> Iterator[slice]:
     return (slice(i, i + size) for i in range(0, n, size))
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) for each row."""
+def _scored(units: DataFrame, lexicon: Lexicon, counts: DataFrame, net: WindowNetwork) -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) for each document of the units."""
+    shared = units.sparkSession.sparkContext.broadcast((net.flat(), np.log(np.maximum(lexicon.mass, 1))))
+
+    def run(batches):
+        net, among = WindowNetwork.of(shared.value[0]), shared.value[1]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                unit, part = (batch.column(k)[i].as_py() for k in (0, 1))
+                ids, n, inside = (batch.column(k)[i].values for k in (2, 3, 4))
+                lengths = n.to_numpy()
+                rows, leaf = _words_of(*(batch.column(k)[i].as_py() for k in (5, 6)))
+                around, owner, score = contexts(rows, lengths), ragged(lengths)[1], np.zeros(len(rows))
+                for some in _slices(len(rows)):
+                    score[some] = net.log_prob(around[some], leaf[some]) - among[leaf[some]]
+                total = np.bincount(owner, score, len(lengths)) + inside.to_numpy()
+                yield pa.RecordBatch.from_pydict({"unit": np.full(len(lengths), unit), "part": pa.array(np.full(len(lengths), part), pa.int32()), "place": np.arange(len(lengths)), "doc_id": ids, "n_words": lengths.astype(np.int64), "total": total})
+
+    def others(batches):
+        for batch in batches:
+            for unit, part, n, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                h, place = np.frombuffer(words, np.int64), np.repeat(np.arange(len(n)), n)
+                for some in _slices(len(h)):
+                    yield pa.RecordBatch.from_pydict({"unit": np.full(len(h[some]), unit), "part": pa.array(np.full(len(h[some]), part), pa.int32()), "place": place[some], "h": h[some]})
+
+    place = "unit long, part int, place long"
+    scored = units.select("unit", "part", "doc_id", "n", "inside", "rows", "leaves").mapInArrow(run, f"{place}, doc_id long, n_words long, total double")
+    rare = units.select("unit", "part", "others", "other_words").mapInArrow(others, f"{place}, h long").join(counts, "h", "left")
+    more = rare.groupBy("unit", "part", "place").agg(F.sum(F.log(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"))
+    log_prob = F.col("total") + F.coalesce("more", F.lit(0.0))
+    joined = scored.join(more, ["unit", "part", "place"], "left").select("doc_id", "n_words", log_prob.alias("log_prob"))
+    return joined.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+
+
+@dataclass
+class LanguageModel:
+    lexicon: Lexicon
+    counts: DataFrame
+    net: WindowNetwork
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+        """(doc_id, n_words, log_prob, mean_log_prob) for each row, of this corpus or another."""
+        small_batches(docs.sparkSession)
+        cut = materialize(_cut(docs, id_col, text), "words")
+        return _scored(materialize(_units(cut, self.lexicon, _n_words(cut)), "units"), self.lexicon, self.counts, self.net)
+
+
+def _n_words(cut: DataFrame) -> int:
+    return cut.agg(F.coalesce(F.sum(F.aggregate("docs.n", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()[0]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[LanguageModel, DataFrame]:
+    """The model of a corpus, and that corpus in units."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = materialize(_blocks_of_words(source), "words")
+    cut = materialize(_cut(docs, id_col, text), "words")
     counts = corpus_counts(cut)
-    levels = levels_of(counts, cut.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4)
-    coded = materialize(_coded(cut, counts, levels), "coded")
-    prior, mass = class_sums(coded, counts, levels)
-    among = np.log(np.maximum(mass, 1))
-    shared = docs.sparkSession.sparkContext.broadcast(train(coded, prior).flat())
+    lexicon = lexicon_of(counts)
+    units = materialize(_units(cut, lexicon, _n_words(cut)), "units")
+    return LanguageModel(lexicon, counts, train(units, lexicon)), units
 
-    def run(batches):
-        net = WindowNetwork(shared.value)
-        for block in blocks(batches, "rows"):
-            rows, kinds, lengths = _words_of(block)
-            around, owner = contexts(rows, lengths), ragged(lengths)[1]
-            score = np.zeros(len(rows))
-            for some in _slices(len(rows)):
-                logp = net.forward(around[some])[2]
-                score[some] = logp[np.arange(len(logp)), kinds[some]] - among[kinds[some]]
-            total = np.bincount(owner, score, len(lengths)) + block["inside"].to_numpy()
-            mean = pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)
-            yield pa.RecordBatch.from_arrays([block["doc_id"].combine_chunks(), pa.array(lengths), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return coded.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) for each row."""
+    model, units = fit(docs, id_col, text)
+    return _scored(units, model.lexicon, model.counts, model.net)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
