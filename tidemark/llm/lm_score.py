@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.textops import WordCache, as_bytes, blocks, mix, ragged, signed, small_batches
+from tidemark.llm.textops import WordCache, as_bytes, blocks, ragged, signed, small_batches
 from tidemark.session import materialize
 
 #: Branches of the tree, and leaves of each.
@@ -44,9 +44,9 @@ LEAVES = BRANCHES * BRANCHES
 REACH, WIDTH, HIDDEN = 2, 16, 32
 #: Embeddings are shared by words whose hashes agree on these low bits.
 SHARED = 1 << 13
-FREQUENT, CELLS = 1 << 18, 1 << 12
+FREQUENT, CELLS = 1 << 19, 1 << 12
 ROUNDS, UNIT = 4, 1 << 20
-BATCH, RATE = 512, 0.5
+BATCH, RATE = 1024, 0.7
 #: Words whose hashes a task keeps.
 WORDS_KEPT = 100_000
 #: Weights travel as rows of so many whole numbers of 1 / SCALE.
@@ -197,15 +197,18 @@ def _words_of(rows: bytes, leaves: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(rows, np.uint16).astype(np.int32), np.frombuffer(leaves, np.uint16).astype(np.int32)
 
 
-def contexts(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Embedding rows of the words on either side; SHARED stands for none."""
-    _, owner = ragged(lengths)
-    out = np.full((len(rows), 2 * REACH), SHARED, np.int32)
-    for gap in range(1, min(REACH, len(rows) - 1) + 1):
-        near = owner[gap:] == owner[:-gap]
-        out[gap:, REACH - gap] = np.where(near, rows[:-gap], SHARED)
-        out[:-gap, REACH + gap - 1] = np.where(near, rows[gap:], SHARED)
-    return out
+class Contexts:
+    """The words of documents one after the other, with room between them: what stands around any of them."""
+
+    def __init__(self, rows: np.ndarray, lengths: np.ndarray):
+        _, self.owner = ragged(lengths)
+        self.at = np.arange(len(rows)) + REACH * (self.owner + 1)
+        self.padded = np.full(len(rows) + REACH * (len(lengths) + 1), SHARED, np.int32)
+        self.padded[self.at] = rows
+
+    def around(self, some: slice) -> np.ndarray:
+        """Embedding rows of the words on either side; SHARED stands for none."""
+        return self.padded[self.at[some, None] + np.array([i for i in range(-REACH, REACH + 1) if i])]
 
 
 def _add_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray, rate: float) -> None:
@@ -288,14 +291,11 @@ def train(units: DataFrame, lexicon: Lexicon) -> WindowNetwork:
         def run(batches, shared=shared, number=number):
             sums, seen = np.zeros(-(-len(shared.value) // ROW) * ROW, np.int64), 0
             for batch in batches:
-                for unit, n, rows, leaves in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                for n, rows, leaves in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
                     own, (rows, leaf), lengths = WindowNetwork.of(shared.value), _words_of(rows, leaves), n.values.to_numpy()
-                    around = contexts(rows, lengths)
-                    salt = mix(np.arange(len(rows), dtype=np.uint64) + (np.uint64(unit) << np.uint64(32)))
-                    turn = np.flatnonzero(salt % np.uint64(ROUNDS) == number)
-                    for at in range(0, len(turn), BATCH):
-                        some = turn[at : at + BATCH]
-                        own.learn(around[some], leaf[some], RATE / (1 + number))
+                    words = Contexts(rows, lengths)
+                    for some in _slices(len(rows), BATCH * ROUNDS, number, ROUNDS):
+                        own.learn(words.around(some), leaf[some], RATE / (1 + number))
                     if len(rows):
                         sums[: len(shared.value)] += np.rint(own.flat() * float(SCALE) * len(rows)).astype(np.int64)
                         seen += len(rows)
@@ -303,7 +303,7 @@ def train(units: DataFrame, lexicon: Lexicon) -> WindowNetwork:
                 table = sums.reshape(-1, ROW)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(np.full(len(table), seen)), *(pa.array(table[:, i]) for i in range(ROW))], names=["row", "n", *names])
 
-        local = units.select("unit", "n", "rows", "leaves").mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
+        local = units.select("n", "rows", "leaves").mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
         rows = local.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()  # the network's size
         if not rows:
             break
@@ -314,8 +314,8 @@ def train(units: DataFrame, lexicon: Lexicon) -> WindowNetwork:
     return net
 
 
-def _slices(n: int, size: int = 1 << 12) -> Iterator[slice]:
-    return (slice(i, i + size) for i in range(0, n, size))
+def _slices(n: int, size: int = 1 << 12, first: int = 0, step: int = 1) -> Iterator[slice]:
+    return (slice(i + first, min(n, i + size), step) for i in range(0, n, size) if i + first < n)
 
 
 def _scored(units: DataFrame, lexicon: Lexicon, counts: DataFrame, net: WindowNetwork) -> DataFrame:
@@ -330,25 +330,25 @@ def _scored(units: DataFrame, lexicon: Lexicon, counts: DataFrame, net: WindowNe
                 ids, n, inside = (batch.column(k)[i].values for k in (2, 3, 4))
                 lengths = n.to_numpy()
                 rows, leaf = _words_of(*(batch.column(k)[i].as_py() for k in (5, 6)))
-                around, owner, score = contexts(rows, lengths), ragged(lengths)[1], np.zeros(len(rows))
+                words, score = Contexts(rows, lengths), np.zeros(len(rows))
                 for some in _slices(len(rows)):
-                    score[some] = net.log_prob(around[some], leaf[some]) - among[leaf[some]]
-                total = np.bincount(owner, score, len(lengths)) + inside.to_numpy()
-                yield pa.RecordBatch.from_pydict({"unit": np.full(len(lengths), unit), "part": pa.array(np.full(len(lengths), part), pa.int32()), "place": np.arange(len(lengths)), "doc_id": ids, "n_words": lengths.astype(np.int64), "total": total})
+                    score[some] = net.log_prob(words.around(some), leaf[some]) - among[leaf[some]]
+                total = np.bincount(words.owner, score, len(lengths)) + inside.to_numpy()
+                yield pa.RecordBatch.from_pydict({"unit": np.full(len(lengths), unit), "place": (part << 32) + np.arange(len(lengths)), "doc_id": ids, "n_words": lengths.astype(np.int64), "total": total})
 
     def others(batches):
         for batch in batches:
             for unit, part, n, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                h, place = np.frombuffer(words, np.int64), np.repeat(np.arange(len(n)), n)
-                for some in _slices(len(h)):
-                    yield pa.RecordBatch.from_pydict({"unit": np.full(len(h[some]), unit), "part": pa.array(np.full(len(h[some]), part), pa.int32()), "place": place[some], "h": h[some]})
+                h, place = np.frombuffer(words, np.int64), np.repeat((part << 32) + np.arange(len(n)), n)
+                for some in _slices(len(h), 1 << 14):
+                    yield pa.RecordBatch.from_pydict({"unit": np.full(len(h[some]), unit), "place": place[some], "h": h[some]})
 
-    place = "unit long, part int, place long"
+    place = "unit long, place long"
     scored = units.select("unit", "part", "doc_id", "n", "inside", "rows", "leaves").mapInArrow(run, f"{place}, doc_id long, n_words long, total double")
     rare = units.select("unit", "part", "others", "other_words").mapInArrow(others, f"{place}, h long").join(counts, "h", "left")
-    more = rare.groupBy("unit", "part", "place").agg(F.sum(F.log(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"))
+    more = rare.groupBy("unit", "place").agg(F.sum(F.log(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"))
     log_prob = F.col("total") + F.coalesce("more", F.lit(0.0))
-    joined = scored.join(more, ["unit", "part", "place"], "left").select("doc_id", "n_words", log_prob.alias("log_prob"))
+    joined = scored.join(more, ["unit", "place"], "left").select("doc_id", "n_words", log_prob.alias("log_prob"))
     return joined.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
