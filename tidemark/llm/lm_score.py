@@ -47,6 +47,8 @@ SHARED = 1 << 13
 FREQUENT, CELLS = 1 << 19, 1 << 12
 ROUNDS, UNIT = 4, 1 << 20
 BATCH, RATE = 1024, 0.7
+#: The leaf that stands in the room between documents, REACH words before, between and after them.
+NONE = 0xFFFF
 #: Words whose hashes a task keeps.
 WORDS_KEPT = 100_000
 #: Weights travel as rows of so many whole numbers of 1 / SCALE.
@@ -172,7 +174,8 @@ def _units(cut: DataFrame, lexicon: Lexicon, n_words: int) -> DataFrame:
 
         def packed():
             lists = [pa.array([pa.concat_arrays([b.column(i) for b in held]).to_pylist()], k) for i, k in zip((2, 3, 4, 5), kinds, strict=True)]
-            blobs = [pa.array([b"".join(x for b in held for x in b.column(i).to_pylist())], pa.binary()) for i in (6, 7, 8)]
+            room = {6: np.full(REACH, SHARED, np.uint16).tobytes(), 7: np.full(REACH, NONE, np.uint16).tobytes(), 8: b""}
+            blobs = [pa.array([r + b"".join(x + r for b in held for x in b.column(i).to_pylist())], pa.binary()) for i, r in room.items()]
             return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([part], pa.int32()), *lists, *blobs], names=["unit", "part", *cols])
 
         for batch in batches:
@@ -193,22 +196,9 @@ def _units(cut: DataFrame, lexicon: Lexicon, n_words: int) -> DataFrame:
     return coded.select(unit, "key", *cols).repartition("unit").sortWithinPartitions("unit", "key", "doc_id").mapInArrow(pack, UNITS)
 
 
-def _words_of(rows: bytes, leaves: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(rows, np.uint16).astype(np.int32), np.frombuffer(leaves, np.uint16).astype(np.int32)
-
-
-class Contexts:
-    """The words of documents one after the other, with room between them: what stands around any of them."""
-
-    def __init__(self, rows: np.ndarray, lengths: np.ndarray):
-        _, self.owner = ragged(lengths)
-        self.at = np.arange(len(rows)) + REACH * (self.owner + 1)
-        self.padded = np.full(len(rows) + REACH * (len(lengths) + 1), SHARED, np.int32)
-        self.padded[self.at] = rows
-
-    def around(self, some: slice) -> np.ndarray:
-        """Embedding rows of the words on either side; SHARED stands for none."""
-        return self.padded[self.at[some, None] + np.array([i for i in range(-REACH, REACH + 1) if i])]
+def around(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Embedding rows of the words on either side; SHARED stands for none."""
+    return rows[at[:, None] + np.array([i for i in range(-REACH, REACH + 1) if i])]
 
 
 def _add_rows(table: np.ndarray, at: np.ndarray, values: np.ndarray, rate: float) -> None:
@@ -291,19 +281,20 @@ def train(units: DataFrame, lexicon: Lexicon) -> WindowNetwork:
         def run(batches, shared=shared, number=number):
             sums, seen = np.zeros(-(-len(shared.value) // ROW) * ROW, np.int64), 0
             for batch in batches:
-                for n, rows, leaves in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
-                    own, (rows, leaf), lengths = WindowNetwork.of(shared.value), _words_of(rows, leaves), n.values.to_numpy()
-                    words = Contexts(rows, lengths)
-                    for some in _slices(len(rows), BATCH * ROUNDS, number, ROUNDS):
-                        own.learn(words.around(some), leaf[some], RATE / (1 + number))
-                    if len(rows):
-                        sums[: len(shared.value)] += np.rint(own.flat() * float(SCALE) * len(rows)).astype(np.int64)
-                        seen += len(rows)
+                for blobs in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                    rows, leaf = (np.frombuffer(x, np.uint16) for x in blobs)
+                    own, turn = WindowNetwork.of(shared.value), np.arange(number, len(leaf), ROUNDS)
+                    turn = turn[leaf[turn] != NONE]
+                    for some in _slices(len(turn), BATCH):
+                        own.learn(around(rows, turn[some]), leaf[turn[some]].astype(np.int64), RATE / (1 + number))
+                    weight = int((leaf != NONE).sum())
+                    sums[: len(shared.value)] += np.rint(own.flat() * float(SCALE) * weight).astype(np.int64)
+                    seen += weight
             if seen:
                 table = sums.reshape(-1, ROW)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table))), pa.array(np.full(len(table), seen)), *(pa.array(table[:, i]) for i in range(ROW))], names=["row", "n", *names])
 
-        local = units.select("n", "rows", "leaves").mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
+        local = units.select("rows", "leaves").mapInArrow(run, "row long, n long, " + ", ".join(f"{n} long" for n in names))
         rows = local.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()  # the network's size
         if not rows:
             break
@@ -314,8 +305,8 @@ def train(units: DataFrame, lexicon: Lexicon) -> WindowNetwork:
     return net
 
 
-def _slices(n: int, size: int = 1 << 12, first: int = 0, step: int = 1) -> Iterator[slice]:
-    return (slice(i + first, min(n, i + size), step) for i in range(0, n, size) if i + first < n)
+def _slices(n: int, size: int = 1 << 12) -> Iterator[slice]:
+    return (slice(i, i + size) for i in range(0, n, size))
 
 
 def _scored(units: DataFrame, lexicon: Lexicon, counts: DataFrame, net: WindowNetwork) -> DataFrame:
@@ -329,11 +320,13 @@ def _scored(units: DataFrame, lexicon: Lexicon, counts: DataFrame, net: WindowNe
                 unit, part = (batch.column(k)[i].as_py() for k in (0, 1))
                 ids, n, inside = (batch.column(k)[i].values for k in (2, 3, 4))
                 lengths = n.to_numpy()
-                rows, leaf = _words_of(*(batch.column(k)[i].as_py() for k in (5, 6)))
-                words, score = Contexts(rows, lengths), np.zeros(len(rows))
-                for some in _slices(len(rows)):
-                    score[some] = net.log_prob(words.around(some), leaf[some]) - among[leaf[some]]
-                total = np.bincount(words.owner, score, len(lengths)) + inside.to_numpy()
+                rows, leaf = (np.frombuffer(batch.column(k)[i].as_py(), np.uint16) for k in (5, 6))
+                score, words = np.zeros(len(leaf)), np.flatnonzero(leaf != NONE)
+                for some in (words[x] for x in _slices(len(words))):
+                    own = leaf[some].astype(np.int64)
+                    score[some] = net.log_prob(around(rows, some), own) - among[own]
+                # a document and the room after it
+                total = np.add.reduceat(score, REACH + ragged(lengths + REACH)[0][:-1]) + inside.to_numpy()
                 yield pa.RecordBatch.from_pydict({"unit": np.full(len(lengths), unit), "place": (part << 32) + np.arange(len(lengths)), "doc_id": ids, "n_words": lengths.astype(np.int64), "total": total})
 
     def others(batches):
