@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import audit, cleaning, labels, metrics, ranking, sampling, splits, temporal
+from tidemark.operators import audit, cleaning, labels, metrics, ranking, ranks, sampling, splits, temporal
 from tidemark.sources import tables
 
 DAY = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n - 1)
@@ -154,8 +154,8 @@ def test_nesting(spark):
 def test_auc_is_mann_whitney(spark, pairs):
     pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     got = metrics.roc_auc(spark.createDataFrame([(float(s), y) for s, y in pairs], "s double, y int"), "s", "y").first()[0]
-    want = None if not pos or not neg else sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
-    assert got is want is None or math.isclose(got, want, abs_tol=1e-6)
+    want = 0.0 if not pos or not neg else sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert math.isclose(got, want, abs_tol=1e-6)
 
 
 def test_past_only(spark):
@@ -199,3 +199,50 @@ def test_ingest_reads_a_file_once(spark, tmp_path):
         (tmp_path / "in" / f"{n}.csv").write_text(f"id,day\n{n},2024-01-0{n}\n")
         ingest_files(spark, f"{tmp_path}/in", "id long, day date", f"{tmp_path}/out", f"{tmp_path}/cp", "day").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_outlier_profile_by_hand(spark):
+    """1,000 values 1 to 1000, one of them -2: ranks 9, 989 and 998 of 0 to 999."""
+    values = [float(i) for i in range(1, 1001)]
+    values[499] = -2.0
+    df = spark.createDataFrame([(v, None) for v in values] + [(None, None), (float("nan"), None)], "x double, empty double")
+    got = {r["column"]: r for r in audit.outlier_profile(df.filter("x IS NULL OR NOT isnan(x)"), ["x", "empty"]).collect()}
+    x, empty = got["x"], got["empty"]
+    assert (x["n"], x["negatives"], x["zeros"], x["min_value"], x["max_value"]) == (1000, 1, 0, -2.0, 1000.0)
+    assert (x["p1"], x["p99"], x["p999"], x["extremes"]) == (9.0, 990.0, 999.0, 1)
+    assert math.isclose(x["score"], 1002 / 2 + 999 / 9 + 0.1, abs_tol=1e-6)
+    assert x["flag_negative"] and not x["flag_skew"] and not x["flag_tail"]
+    assert empty["n"] == 0 and empty["score"] is None and [r["column"] for r in audit.most_extreme(audit.outlier_profile(df.na.drop("all"), ["x", "empty"])).collect()] == ["x"]
+
+
+def test_acceptance_by_hand(spark):
+    good = spark.createDataFrame([(1, "a", "2024-01-01", 0, 1.0), (1, "a", "2024-01-02", 1, None)], "id long, model string, day string, y int, r_1 double")
+    good = good.select("id", "model", F.to_date("day").alias("day"), F.col("y").cast("byte").alias("y"), "r_1")
+    verdict = lambda df, **more: {r["criterion"]: r["n_bad"] for r in audit.acceptance(df, "id", "model", "day", ["y"], **more).collect()}
+    assert set(verdict(good).values()) == {0}
+    bad = good.unionByName(good).withColumn("y", F.lit(None).cast("byte")).withColumn("r_1", F.lit(None).cast("int"))
+    got = verdict(bad, required=["id", "y", "gone"], first_day="2024-01-02", last_day="2024-01-01", schemas=[["a"], ["b"], ["a"]], expected_rows=7)
+    assert got == {"schema_consistency": 2, "type_consistency": 1, "uniqueness": 2, "missingness": 2, "label_distribution": 1, "label_nesting": 0, "date_coverage": 2, "row_reconciliation": 3, "overall": 13}
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.floats(-1e9, 1e9), st.integers(0, 3).map(float)), max_size=40))
+def test_percentiles_are_exact(spark, values):
+    known = sorted(v for v in values if v is not None)
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = ranks.percentiles(df, {"x": [0, 33, 50, 100]})["x"]
+    for p, v in got.items():
+        if not known:
+            assert v is None
+        else:
+            at = p / 100 * (len(known) - 1)
+            a, b = known[int(at)], known[min(int(at) + 1, len(known) - 1)]
+            assert math.isclose(v, a + (b - a) * (at - int(at)), rel_tol=1e-12, abs_tol=1e-9)
+
+
+def test_order_statistics_in_few_bins(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BINS", 3)
+    monkeypatch.setattr(ranks, "FEW", 2)
+    values = sorted([1e-9, 2e-9, 3e-9, 5.0, 5.0, 5.0, 5.0, 1e12, -1e12, 7.0, 7.5])
+    got = ranks.order_statistics(spark.createDataFrame([(v,) for v in values], "x double"), {"x": range(len(values))})
+    assert [got["x"][i] for i in range(len(values))] == values

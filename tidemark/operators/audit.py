@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.ranks import percentiles
 
 
 def long_form(df: DataFrame, columns: Sequence[str], measures: dict[str, object], name: str = "column") -> DataFrame:
@@ -47,49 +50,47 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles_linear(df: DataFrame, columns: Sequence[str], qs: Sequence[float] = (0.01, 0.5, 0.99)) -> DataFrame:
-    """Exact, with linear interpolation."""
-    return long_form(df, columns, {f"q{int(q * 100)}": (lambda c, q=q: F.round(F.percentile(c, q), 6)) for q in qs})
+    """Exact, with linear interpolation; a row a column."""
+    found = percentiles(df, {c: [100 * q for q in qs] for c in columns})
+    rows = [(c, *(found[c][100 * q] for q in qs)) for c in columns]
+    names = [f"q{int(q * 100)}" for q in qs]
+    return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"{n} double" for n in names)).select("column", *[F.round(n, 6).alias(n) for n in names])
 
 
 def quantiles_lower(df: DataFrame, columns: Sequence[str], percents: Sequence[float] = (0.1, 1, 99, 99.9)) -> DataFrame:
-    """(column, percent, value): the exact value at 0-based rank int(p / 100 * (n - 1)).
-
-    Counts of distinct values are summed up (a running total over value ranges is avoided by
-    percentile with a rank that falls on a row: its interpolation then has weight 0).
-    """
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    picks = []
-    for i, c in enumerate(columns):
-        n = counts[i]
-        for p in percents:
-            at = int(p / 100 * (n - 1)) / (n - 1) if n > 1 else 0.0
-            picks.append((c, p, F.percentile(c, at)))
-    one = df.agg(*[x.alias(f"p{j}") for j, (_, _, x) in enumerate(picks)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("percent"), F.round(F.col(f"p{j}"), 6).alias("value")) for j, (c, p, _) in enumerate(picks)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """(column, percent, value): the exact value at 0-based rank int(p / 100 * (n - 1))."""
+    found = percentiles(df, dict.fromkeys(columns, percents), lower=True)
+    rows = [(c, float(p), found[c][p]) for c in columns for p in percents]
+    return df.sparkSession.createDataFrame(rows, "column string, percent double, value double").withColumn("value", F.round("value", 6))
 
 
 def outlier_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean, population deviation, zeros, negatives, p99, p99.9, values beyond p99.9, flags and a score."""
-    base = long_form(
-        df, columns,
-        {"n": F.count, "mean_value": F.avg, "std_value": F.stddev_pop, "zeros": lambda c: F.count_if(c == 0), "negatives": lambda c: F.count_if(c < 0),
-         "max_value": F.max, "p99": lambda c: F.percentile(c, 0.99), "p999": lambda c: F.percentile(c, 0.999)},
-    )
-    cuts = {r["column"]: r["p999"] for r in base.select("column", "p999").collect()}  # one number a column
-    beyond = df.agg(*[F.count_if(F.col(c) > F.lit(cuts[c])).alias(f"b{i}") for i, c in enumerate(columns)])
-    extra = beyond.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("extremes")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    rounded = [F.round(c, 6).alias(c) for c in ("mean_value", "std_value", "max_value", "p99", "p999")]
-    return base.join(F.broadcast(extra), "column").select(
-        "column", "n", "zeros", "negatives", "extremes", *rounded, (F.col("negatives") > 0).alias("flag_negative"),
-        (ratio("p999", "p99") > 10).alias("flag_skew"), (ratio("max_value", "p999") > 10).alias("flag_tail"),
-        F.round(ratio("max_value", "p999") + ratio("p999", "p99") + F.when(F.col("n") > 0, F.col("negatives") / F.col("n")).otherwise(0.0), 6).alias("score"),
+    """Mean, population deviation, zeros, negatives, ends, percentiles, values beyond p99.9, flags and a score.
+
+    Percentiles are values at rank int(p / 100 * (n - 1)). The score adds up the span over the least
+    value (the greatest value where the least is 0; nothing where they are equal), p99.9 over p1 where
+    that is positive, and the percentage of negatives. A column without values has none.
+    """
+    measures = {"n": F.count, "zeros": lambda c: F.count_if(c == 0), "negatives": lambda c: F.count_if(c < 0), "mean_value": F.avg, "std_value": F.stddev_pop, "min_value": F.min, "max_value": F.max}
+    base = {r["column"]: r for r in long_form(df, columns, measures).collect()}  # a row a column
+    cuts = percentiles(df, dict.fromkeys(columns, (1, 99, 99.9)), lower=True)
+    beyond = df.agg(*[F.count_if(F.col(c) > F.lit(cuts[c][99.9])).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    rows = [(*base[c], beyond[i], *(cuts[c][p] for p in (1, 99, 99.9))) for i, c in enumerate(columns)]
+    kinds = "column string, n long, zeros long, negatives long, mean_value double, std_value double, min_value double, max_value double, extremes long, p1 double, p99 double, p999 double"
+    found = df.sparkSession.createDataFrame([tuple(float(x) if 4 <= i <= 7 and x is not None else x for i, x in enumerate(r)) for r in rows], kinds)
+    lo, hi, c = F.col("min_value"), F.col("max_value"), F.col
+    span = F.when(lo == hi, 0.0).when(lo != 0, (hi - lo) / F.abs(lo)).otherwise(F.abs(hi))
+    score = span + F.when(c("p1") > 0, c("p999") / c("p1")).otherwise(0.0) + 100 * c("negatives") / c("n")
+    return found.select(
+        "column", "n", "zeros", "negatives", "extremes", *[F.round(x, 6).alias(x) for x in ("mean_value", "std_value", "min_value", "max_value", "p1", "p99", "p999")],
+        (c("negatives") > 0).alias("flag_negative"), F.coalesce((c("p99") > 0) & (c("p999") / c("p99") > 10), F.lit(False)).alias("flag_skew"),
+        F.coalesce((c("p999") > 0) & (hi / c("p999") > 10), F.lit(False)).alias("flag_tail"), F.round(F.when(c("n") > 0, score), 6).alias("score"),
     )
 
 
 def most_extreme(profile: DataFrame, most: int = 30) -> DataFrame:
-    return profile.orderBy(F.desc("score"), "column").limit(most)
+    """The columns of the highest scores; those without values have none."""
+    return profile.filter("score IS NOT NULL").orderBy(F.desc("score"), "column").limit(most)
 
 
 def duplicate_rate(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -134,8 +135,59 @@ def dtype_drift(files: DataFrame, column: str = "column", dtype: str = "dtype")
     return files.groupBy(column).agg(F.array_join(F.array_sort(F.collect_set(dtype)), ",").alias("dtypes"), F.count_distinct(dtype).alias("n_types")).filter("n_types > 1")
 
 
-def acceptance(df: DataFrame, entity: Sequence[str], day: str, model: str, labels: Sequence[str], normalised: Sequence[str], raw: Sequence[str]) -> DataFrame:
-    """(criterion, n_bad, passed) for each of eight criteria, and "overall"."""
+#: A column that isn't required may have so many per cent of its rows missing, and less.
+MOST_MISSING = 95.0
+
+
+def type_issues(df: DataFrame, entity: str, model: str, day: str, labels: Sequence[str]) -> list[str]:
+    """Columns of another type than theirs: ids whole, models text, days dates, labels bytes, n_ and r_ columns fractions."""
+    wanted = {entity: T.IntegralType, model: T.StringType, day: (T.DateType, T.TimestampType, T.TimestampNTZType), **dict.fromkeys(labels, T.ByteType)}
+    wanted = dict.fromkeys([c for c in df.columns if c.startswith(("n_", "r_"))], T.FractionalType) | wanted
+    return [f.name for f in df.schema if f.name in wanted and not isinstance(f.dataType, wanted[f.name])]
+
+
+def acceptance(
+    df: DataFrame, entity: str, model: str, day: str, labels: Sequence[str], required: Sequence[str] = (),
+    first_day: str | None = None, last_day: str | None = None, schemas: Sequence[Sequence[str]] = (), expected_rows: int | None = None,
+) -> DataFrame:
+    """(criterion, n_bad, passed) for each of eight criteria, and "overall": all of them.
+
+    schema_consistency: of ``schemas``, the partitions' columns, those unlike the first, and required
+    columns that are missing. type_consistency: columns of another type. uniqueness: rows beyond the
+    first of their entity, model and day. missingness: required columns with any value missing,
+    others with MOST_MISSING per cent or more. label_distribution: labels without values or with
+    others than 0 and 1. label_nesting: rows whose shorter horizon is 1 and the next one 0.
+    date_coverage: ends of the dates outside the expected ones. row_reconciliation: rows more or less
+    than expected, where a count is expected.
+    """
+    must = list(required) or [entity, model, day, *labels]
+    have = [c for c in must if c in df.columns]
+    n = F.count("*")
+    share = lambda c: F.when(n > 0, 100 * F.count_if(F.col(c).isNull()) / n).otherwise(0.0)
+    total = lambda xs: sum((x.cast("long") for x in xs), F.lit(0).cast("long"))
+    missing = [share(c) > 0 for c in have] + [share(c) >= MOST_MISSING for c in df.columns if c not in must]
+    binary = [(F.count(y) == 0) | (F.count_if(F.col(y).isin(0, 1)) != F.count(y)) for y in labels]
+    nested = F.lit(False)
+    for a, b in zip(labels, labels[1:], strict=False):
+        nested = nested | ((F.col(a) == 1) & (F.col(b) == 0))
+    early = F.coalesce(F.min(day) < F.lit(first_day).cast("date"), F.lit(False)) if first_day else F.lit(False)
+    late = F.coalesce(F.max(day) > F.lit(last_day).cast("date"), F.lit(False)) if last_day else F.lit(False)
+    one = df.agg(
+        F.lit(sum(list(x) != list(schemas[0]) for x in schemas) + len(must) - len(have)).alias("schema_consistency"),
+        F.lit(len(type_issues(df, entity, model, day, labels))).alias("type_consistency"), total(missing).alias("missingness"), total(binary).alias("label_distribution"),
+        F.count_if(nested).alias("label_nesting"), total([early, late]).alias("date_coverage"),
+        (F.abs(n - expected_rows) if expected_rows is not None else F.lit(0)).alias("row_reconciliation"),
+    )
+    unique = duplicate_rate(df, [entity, model, day]).select((F.col("n_rows") - F.col("n_keys")).alias("uniqueness"))
+    names = [*one.columns, "uniqueness"]
+    rows = [F.struct(F.lit(x).alias("criterion"), F.col(x).cast("long").alias("n_bad")) for x in names]
+    overall = F.struct(F.lit("overall").alias("criterion"), total([F.col(x) for x in names]).alias("n_bad"))
+    both = one.crossJoin(unique)  # one row each
+    return both.select(F.explode(F.array(*rows, overall)).alias("r")).select("r.criterion", "r.n_bad", (F.col("r.n_bad") == 0).alias("passed"))
+
+
+def integrity_checks(df: DataFrame, entity: Sequence[str], day: str, model: str, labels: Sequence[str], normalised: Sequence[str], raw: Sequence[str]) -> DataFrame:
+    """(criterion, n_bad, passed) for each of eight checks of single rows and keys, and "overall"."""
     null_key = F.lit(False)
     for c in (*entity, day):
         null_key = null_key | F.col(c).isNull()

@@ -1,15 +1,14 @@
 """Evaluation of scores: confusion, average precision, ROC-AUC and threshold choice.
 
-Rows are added up by score before anything is ordered, so windows run over distinct scores.
+Rows are added up by score before anything is ordered; running sums go range by range.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import auc_of_bins
+from tidemark.operators.ranks import running_sums
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -35,15 +34,17 @@ def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: sum of recall steps times precision, ties together; 0 without positives."""
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    run = by_score(df, score, label).select("pos", F.sum("pos").over(w).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(w).alias("k"))
-    return run.agg(F.round(_share(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")), 6).alias("average_precision"))
+    run = running_sums(by_score(df, score, label), "score", ["pos", "neg"])
+    tp = F.col("before_pos") + F.col("pos")
+    k = tp + F.col("before_neg") + F.col("neg")
+    return run.agg(F.round(_share(F.sum(F.col("pos") * tp / k), F.sum("pos")), 6).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: exact, ties as halves; null where a class is missing."""
-    one = auc_of_bins(by_score(df, score, label).withColumn("g", F.lit(1)), ["g"], "score")
-    return one.select(F.round(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("auc")), 6).alias("roc_auc"))
+    """One row: exact, ties as halves; 0 where a class is missing."""
+    run = running_sums(by_score(df, score, label), "score", ["pos"])
+    won = F.sum(F.col("neg") * (F.col("before_pos") + F.col("pos") / 2))
+    return run.agg(F.round(F.coalesce(_share(won, F.sum("pos") * F.sum("neg")), F.lit(0.0)), 6).alias("roc_auc"))
 
 
 def threshold_scan(df: DataFrame, score: str, label: str, step: float = 0.01) -> DataFrame:
@@ -66,8 +67,9 @@ def threshold_scan(df: DataFrame, score: str, label: str, step: float = 0.01) ->
 
 def best_threshold(scan: DataFrame) -> DataFrame:
     """One row: the lowest threshold of the highest F1; 0.5 if every F1 is 0."""
-    best = scan.agg(F.max_by("threshold", F.struct(F.col("f1"), -F.col("threshold"))).alias("t"), F.max("f1").alias("best_f1"))
-    return best.select(F.when(F.col("best_f1") > 0, F.col("t")).otherwise(0.5).alias("threshold"), F.coalesce("best_f1", F.lit(0.0)).alias("best_f1"))
+    f1 = _rates(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))["f1"]  # not rounded
+    best = scan.agg(F.max_by("threshold", F.struct(f1, -F.col("threshold"))).alias("t"), F.max(f1).alias("best_f1"))
+    return best.select(F.when(F.col("best_f1") > 0, F.col("t")).otherwise(0.5).alias("threshold"), F.round(F.coalesce("best_f1", F.lit(0.0)), 6).alias("best_f1"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

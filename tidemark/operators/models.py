@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
 from tidemark.operators.audit import cell_missing_pct
+from tidemark.operators.ranks import percentiles
 from tidemark.operators.sampling import cap_keep_positives, downsample_negatives
 
 
@@ -30,8 +31,8 @@ class Prepared:
 
 def fit_preprocess(df: DataFrame, features: Sequence[str]) -> Prepared:
     """Exact medians, then mean and deviation of the imputed values; all-null features become 0."""
-    medians = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in features]).first()
-    md = [medians[c] if medians[c] is not None else 0.0 for c in features]
+    medians = percentiles(df, dict.fromkeys(features, (50,)))
+    md = [medians[c][50] if medians[c][50] is not None else 0.0 for c in features]
     filled = [F.coalesce(F.col(c), F.lit(m)) for c, m in zip(features, md, strict=True)]
     row = df.agg(*[x for i, v in enumerate(filled) for x in (F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"))]).first()
     mean = tuple(row[f"m{i}"] or 0.0 for i in range(len(features)))

@@ -54,6 +54,6 @@ def auc_of_bins(hist: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 def rank_features(df: DataFrame, features: Sequence[str], label: str, bins: int = BINS, least: int = LEAST_VALUES) -> DataFrame:
     """(rank, feature, auc, abs_auc_minus_0_5, n_pos, n_neg) by distance from one half, ties by name."""
     scored = auc_of_bins(label_histogram(df, features, label, bins, least), ["feature"], "bin")
-    scored = scored.withColumn("auc", F.round("auc", 6)).withColumn("abs_auc_minus_0_5", F.round(F.abs(F.col("auc") - 0.5), 6))
-    rank = F.row_number().over(W.orderBy(F.desc("abs_auc_minus_0_5"), "feature"))  # a row a feature
-    return scored.withColumn("rank", rank).select("rank", "feature", "auc", "abs_auc_minus_0_5", "n_pos", "n_neg")
+    apart = F.abs(F.col("auc") - 0.5)
+    rank = F.row_number().over(W.orderBy(F.desc("apart"), "feature"))  # a row a feature
+    return scored.withColumn("apart", apart).select(rank.alias("rank"), "feature", F.round("auc", 6).alias("auc"), F.round("apart", 6).alias("abs_auc_minus_0_5"), "n_pos", "n_neg")

@@ -127,7 +127,7 @@ def label_distribution(spark, sf_dir):
     return labels.label_distribution(labelled(spark, sf_dir), HORIZONS)
 
 
-@query(f"""{BASE} SELECT count(*) AS rows_in, 0::BIGINT AS dropped_no_key, 0::BIGINT AS dropped_no_day, count(*) FILTER (d < 0) AS dropped_after_failure,
+@query(f"""{BASE} SELECT count(*) AS rows_in, count(*) FILTER (user_id IS NULL) AS dropped_no_key, count(*) FILTER (user_id IS NOT NULL AND day IS NULL) AS dropped_no_day, count(*) FILTER (d < 0) AS dropped_after_failure,
 count(*) FILTER (d IS NULL OR d >= 0) AS rows_out, count(*) FILTER (d >= 0) AS rows_with_failure FROM gap""")
 def label_accounting(spark, sf_dir):
     return labels.label_accounting(telemetry(spark, sf_dir), first_failures(spark, sf_dir), ["user_id"], "day", "failure_day")
@@ -335,11 +335,14 @@ def quantiles_lower(spark, sf_dir):
 _OUTLIERS = ["r_qty", "r_price"]
 
 
-@query(f"WITH {LINES}, a AS (" + per_column(_OUTLIERS, "SELECT '{c}' AS \"column\", count({c}) AS n, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER ({c} < 0) AS negatives, avg({c}) AS mean_value, stddev_pop({c}) AS std_value, max({c}) AS max_value, "
-       "quantile_cont({c}, 0.99) AS p99, quantile_cont({c}, 0.999) AS p999, (SELECT count(*) FROM lines WHERE {c} > (SELECT quantile_cont({c}, 0.999) FROM lines)) AS extremes", "lines") + """),
-b AS (SELECT *, CASE WHEN p99 > 0 THEN p999 / p99 ELSE 0 END AS skew, CASE WHEN p999 > 0 THEN max_value / p999 ELSE 0 END AS tail FROM a)
-SELECT "column", n, zeros, negatives, extremes, round(mean_value, 6) AS mean_value, round(std_value, 6) AS std_value, round(max_value, 6) AS max_value, round(p99, 6) AS p99, round(p999, 6) AS p999,
-negatives > 0 AS flag_negative, skew > 10 AS flag_skew, tail > 10 AS flag_tail, round(tail + skew + negatives / n, 6) AS score FROM b""")
+@query(f"""WITH {LINES}, v AS (SELECT 'r_qty' AS "column", r_qty AS x FROM lines UNION ALL SELECT 'r_price', r_price FROM lines),
+o AS (SELECT "column", x, row_number() OVER (PARTITION BY "column" ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY "column") AS n FROM v WHERE x IS NOT NULL),
+p AS (SELECT "column", max(x) FILTER (r = floor(1.0::DOUBLE / 100 * (n - 1))) AS p1, max(x) FILTER (r = floor(99.0::DOUBLE / 100 * (n - 1))) AS p99, max(x) FILTER (r = floor(99.9::DOUBLE / 100 * (n - 1))) AS p999 FROM o GROUP BY 1),
+b AS (SELECT "column", count(*) AS n, count(*) FILTER (x = 0) AS zeros, count(*) FILTER (x < 0) AS negatives, count(*) FILTER (x > p999) AS extremes, avg(x) AS mean_value, stddev_pop(x) AS std_value,
+min(x) AS lo, max(x) AS hi, any_value(p1) AS p1, any_value(p99) AS p99, any_value(p999) AS p999 FROM v JOIN p USING ("column") WHERE x IS NOT NULL GROUP BY 1)
+SELECT "column", n, zeros, negatives, extremes, round(mean_value, 6) AS mean_value, round(std_value, 6) AS std_value, round(lo, 6) AS min_value, round(hi, 6) AS max_value, round(p1, 6) AS p1, round(p99, 6) AS p99, round(p999, 6) AS p999,
+negatives > 0 AS flag_negative, p99 > 0 AND p999 / p99 > 10 AS flag_skew, p999 > 0 AND hi / p999 > 10 AS flag_tail,
+round(CASE WHEN lo = hi THEN 0 WHEN lo <> 0 THEN (hi - lo) / abs(lo) ELSE abs(hi) END + CASE WHEN p1 > 0 THEN p999 / p1 ELSE 0 END + 100.0::DOUBLE * negatives / n, 6) AS score FROM b""")
 def outlier_profile(spark, sf_dir):
     return audit.outlier_profile(lines(spark, sf_dir), _OUTLIERS)
 
@@ -371,12 +374,52 @@ def partition_row_counts(spark, sf_dir):
 
 
 @query(f"""{BASE}, k AS (SELECT count(*) AS c FROM labelled GROUP BY user_id, event_type, day), n AS (
-SELECT 'has_rows' AS criterion, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END::BIGINT AS n_bad FROM labelled UNION ALL SELECT 'keys_known', 0 UNION ALL SELECT 'model_known', 0 UNION ALL SELECT 'labels_binary', 0
+SELECT 'has_rows' AS criterion, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END::BIGINT AS n_bad FROM labelled UNION ALL SELECT 'keys_known', count(*) FILTER (user_id IS NULL OR day IS NULL) FROM labelled
+UNION ALL SELECT 'model_known', count(*) FILTER (event_type IS NULL OR event_type = '') FROM labelled UNION ALL SELECT 'labels_binary', count(*) FILTER (y_7 NOT IN (0, 1) OR y_14 NOT IN (0, 1) OR y_30 NOT IN (0, 1)) FROM labelled
 UNION ALL SELECT 'labels_nested', count(*) FILTER (y_7 = 1 AND y_14 = 0) + count(*) FILTER (y_14 = 1 AND y_30 = 0) FROM labelled UNION ALL SELECT 'normalised_range', count(*) FILTER (NOT value BETWEEN 0 AND 100) FROM labelled
 UNION ALL SELECT 'raw_not_negative', count(*) FILTER (value < 0) FROM labelled UNION ALL SELECT 'keys_unique', (sum(c) - count(*))::BIGINT FROM k)
 SELECT criterion, n_bad, n_bad = 0 AS passed FROM n UNION ALL SELECT 'overall', sum(n_bad)::BIGINT, sum(n_bad) = 0 FROM n""")
+def integrity_checks(spark, sf_dir):
+    return audit.integrity_checks(labelled(spark, sf_dir), ["user_id"], "day", "event_type", HORIZONS, ["value"], ["value"])
+
+
+def _with_faults(spark, sf_dir):
+    """Labelled events with a fault against each criterion, by rules on event_id and user_id."""
+    k = F.col("event_id") % 100
+    return labelled(spark, sf_dir).select(
+        "event_id", "user_id", F.when(k != 7, F.col("event_type")).alias("event_type"), F.when(F.col("user_id") % 97 != 0, F.col("day")).alias("day"),
+        F.when(k == 8, F.lit(2)).otherwise(F.col("y_7")).cast("byte").alias("y_7"), F.when(k == 9, F.lit(0)).otherwise(F.col("y_14")).cast("byte").alias("y_14"), F.col("y_30").cast("int").alias("y_30"),
+        F.when(k < 3, F.col("value")).alias("r_rare"), (F.col("value") * 10).cast("long").alias("n_whole"),
+    )
+
+
+_SCHEMAS = [["event_id", "user_id", "day"], ["event_id", "user_id", "day"], ["user_id", "event_id", "day"], ["event_id", "day"]]
+_CRITERIA = "SELECT criterion, n_bad, n_bad = 0 AS passed FROM n UNION ALL SELECT 'overall', sum(n_bad)::BIGINT, sum(n_bad) = 0 FROM n"
+
+
+@query(f"""{BASE}, f AS (SELECT event_id, user_id, CASE WHEN event_id % 100 <> 7 THEN event_type END AS event_type, CASE WHEN user_id % 97 <> 0 THEN day END AS day,
+CASE WHEN event_id % 100 = 8 THEN 2 ELSE y_7 END AS y_7, CASE WHEN event_id % 100 = 9 THEN 0 ELSE y_14 END AS y_14, y_30, CASE WHEN event_id % 100 < 3 THEN value END AS r_rare, value AS n_whole FROM labelled),
+k AS (SELECT count(*) AS c FROM f WHERE event_type IS NOT NULL AND day IS NOT NULL GROUP BY user_id, event_type, day),
+s AS (SELECT count(*) AS n, {", ".join(f"count({c}) AS {c}" for c in ("user_id", "event_type", "day", "y_7", "y_14", "y_30", "event_id", "r_rare", "n_whole"))},
+{", ".join(f"count(*) FILTER ({y} IN (0, 1)) AS b{y}" for y in HORIZONS)}, count(*) FILTER (y_7 = 1 AND y_14 = 0 OR y_14 = 1 AND y_30 = 0) AS nested, min(day) AS lo, max(day) AS hi FROM f),
+n AS (SELECT 'schema_consistency' AS criterion, 2 + 1::BIGINT AS n_bad UNION ALL SELECT 'type_consistency', 2 UNION ALL SELECT 'uniqueness', (sum(c) - count(*))::BIGINT FROM k
+UNION ALL SELECT 'missingness', {" + ".join(f"({c} < n)::BIGINT" for c in ("user_id", "event_type", "day", "y_7", "y_14", "y_30"))} + {" + ".join(f"(100.0::DOUBLE * (n - {c}) / n >= 95)::BIGINT" for c in ("event_id", "r_rare", "n_whole"))} FROM s
+UNION ALL SELECT 'label_distribution', {" + ".join(f"({y} = 0 OR b{y} <> {y})::BIGINT" for y in HORIZONS)} FROM s UNION ALL SELECT 'label_nesting', nested FROM s
+UNION ALL SELECT 'date_coverage', (lo < DATE '2024-01-05')::BIGINT + (hi > DATE '2024-12-31')::BIGINT FROM s UNION ALL SELECT 'row_reconciliation', (SELECT count(*) FROM events) - n FROM s) {_CRITERIA}""")
 def qa_acceptance(spark, sf_dir):
-    return audit.acceptance(labelled(spark, sf_dir), ["user_id"], "day", "event_type", HORIZONS, ["value"], ["value"])
+    required = ["user_id", "event_type", "day", *HORIZONS, "failure_day"]
+    return audit.acceptance(
+        _with_faults(spark, sf_dir), "user_id", "event_type", "day", HORIZONS, required, "2024-01-05", "2024-12-31", _SCHEMAS, table(spark, sf_dir, "events").count()
+    )
+
+
+@query(f"""{BASE}, f AS (SELECT user_id, 'm' AS event_type, day, max(y_7) AS y_7, max(y_14) AS y_14, max(y_30) AS y_30, max(value) AS r_value FROM labelled GROUP BY 1, 3),
+n AS (SELECT 'schema_consistency' AS criterion, 0::BIGINT AS n_bad UNION ALL SELECT 'type_consistency', 0 UNION ALL SELECT 'uniqueness', count(*) - count(DISTINCT (user_id, day)) FROM f UNION ALL SELECT 'missingness', count(*) FILTER (r_value IS NULL) FROM f
+UNION ALL SELECT 'label_distribution', count(*) FILTER (y_7 NOT IN (0, 1)) FROM f UNION ALL SELECT 'label_nesting', count(*) FILTER (y_7 = 1 AND y_14 = 0 OR y_14 = 1 AND y_30 = 0) FROM f
+UNION ALL SELECT 'date_coverage', count(*) FILTER (day < DATE '2000-01-01') FROM f UNION ALL SELECT 'row_reconciliation', 0) {_CRITERIA}""")
+def qa_acceptance_clean(spark, sf_dir):
+    clean = labelled(spark, sf_dir).groupBy("user_id", F.lit("m").alias("event_type"), "day").agg(*[F.max(y).cast("byte").alias(y) for y in HORIZONS], F.max("value").alias("r_value"))
+    return audit.acceptance(clean, "user_id", "event_type", "day", HORIZONS, (), "2000-01-01", "2100-01-01")
 
 
 def _file_schemas(spark, sf_dir):
@@ -393,11 +436,11 @@ def schema_drift(spark, sf_dir):
     return audit.schema_drift(_file_schemas(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT event_type AS "column", CASE WHEN user_id % 2 = 0 THEN 'double' ELSE 'string' END AS dtype FROM events WHERE user_id % 2 = 0 OR event_type IN ('error', 'click'))
+@query("""WITH t AS (SELECT event_type AS "column", CASE WHEN user_id % 2 = 1 AND event_type IN ('error', 'click') THEN 'string' ELSE 'double' END AS dtype FROM events)
 SELECT "column", string_agg(DISTINCT dtype, ',' ORDER BY dtype) AS dtypes, count(DISTINCT dtype) AS n_types FROM t GROUP BY 1 HAVING count(DISTINCT dtype) > 1""")
 def dtype_drift(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id % 2 = 0 OR event_type IN ('error', 'click')")
-    return audit.dtype_drift(e.select(F.col("event_type").alias("column"), F.when(F.col("user_id") % 2 == 0, "double").otherwise("string").alias("dtype")))
+    odd = (F.col("user_id") % 2 == 1) & F.col("event_type").isin("error", "click")
+    return audit.dtype_drift(table(spark, sf_dir, "events").select(F.col("event_type").alias("column"), F.when(odd, "string").otherwise("double").alias("dtype")))
 
 
 # ---- splits
@@ -533,9 +576,9 @@ def hist_label_conditional(spark, sf_dir):
 
 
 @query(f"""WITH {_HIST}, a AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY feature ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM hist),
-s AS (SELECT feature, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(neg * (above + pos / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)), 6) AS auc FROM a GROUP BY 1),
-r AS (SELECT *, round(abs(auc - 0.5), 6) AS abs_auc_minus_0_5 FROM s)
-SELECT row_number() OVER (ORDER BY abs_auc_minus_0_5 DESC, feature)::INTEGER AS rank, feature, auc, abs_auc_minus_0_5, n_pos, n_neg FROM r""")
+s AS (SELECT feature, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, sum(neg * (above + pos / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM a GROUP BY 1),
+r AS (SELECT *, abs(auc - 0.5) AS apart FROM s)
+SELECT row_number() OVER (ORDER BY apart DESC, feature)::INTEGER AS rank, feature, round(auc, 6) AS auc, round(apart, 6) AS abs_auc_minus_0_5, n_pos, n_neg FROM r""")
 def hist_auc_rank(spark, sf_dir):
     return ranking.rank_features(scored(spark, sf_dir), _RANKED, "toxic", least=50)
 
@@ -607,7 +650,7 @@ def threshold_scan(spark, sf_dir):
     return metrics.threshold_scan(scored(spark, sf_dir), "score", "toxic")
 
 
-@query(f"{_M}, {_SCAN}, f AS (SELECT threshold, {_PRF} FROM c) SELECT threshold, f1 AS best_f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1")
+@query(f"{_M}, {_SCAN}, f AS (SELECT threshold, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c) SELECT threshold, round(f1, 6) AS best_f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1")
 def best_threshold(spark, sf_dir):
     return metrics.best_threshold(metrics.threshold_scan(scored(spark, sf_dir), "score", "toxic"))
 
