@@ -36,7 +36,7 @@ def first_partitions(df: DataFrame, parts: Sequence[str], most: int) -> DataFram
     return df.join(df.select(*parts).distinct().orderBy(*parts).limit(most), list(parts), "left_semi")
 
 
-def _cut(df: DataFrame, key: Sequence[str], most: int, seed: int) -> DataFrame:
+def least_draws(df: DataFrame, key: Sequence[str], most: int, seed: int) -> DataFrame:
     """``most`` rows of the least draws (ties by key).
 
     Rows are counted by the first digits of their draws; only those of the digits that the cut falls
@@ -65,8 +65,8 @@ def cap_keep_positives(df: DataFrame, label: str, key: Sequence[str], most: int,
     pos, neg = df.filter(F.col(label) == 1), df.filter(F.col(label) != 1)
     n_pos = pos.count()
     if n_pos >= most:
-        return _cut(pos, key, most, seed)
-    return pos.unionByName(_cut(neg, key, most - n_pos, seed))
+        return least_draws(pos, key, most, seed)
+    return pos.unionByName(least_draws(neg, key, most - n_pos, seed))
 
 
 def downsample_negatives(df: DataFrame, label: str, key: Sequence[str], ratio: int, seed: int = SEED) -> DataFrame:
@@ -76,4 +76,4 @@ def downsample_negatives(df: DataFrame, label: str, key: Sequence[str], ratio: i
     n_pos, n_neg = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) != 1)).first()
     if n_pos == 0 or n_neg <= ratio * n_pos:
         return df
-    return df.filter(F.col(label) == 1).unionByName(_cut(df.filter(F.col(label) != 1), key, ratio * n_pos, seed))
+    return df.filter(F.col(label) == 1).unionByName(least_draws(df.filter(F.col(label) != 1), key, ratio * n_pos, seed))
