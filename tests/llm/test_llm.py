@@ -48,6 +48,18 @@ def test_mixing_rates_and_cases(spark):
     one = spark.createDataFrame([(None, 1.0)], "source string, weight double")  # a mean of 1000 a document
     assert abs(mixing.mix_sources(docs, one, 10_000).count() - 10_000) < 500
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs.withColumnRenamed("text", "copy"))
+
+
+def test_mixing_rare_source_nulls_and_repeats(spark):
+    """A mean of 400,000 for one document, a null id, and rows that repeat an id."""
+    docs = spark.createDataFrame([(1, "rare"), (2, "a"), (2, "a"), (None, "a")], "doc_id long, source string")
+    weights = spark.createDataFrame([("rare", 4.0), ("a", 0.00003)], "source string, weight double")
+    got = mixing.mix_sources(docs, weights, 400_000).groupBy("doc_id").agg({"copy": "max", "*": "count", "shuffle_key": "count"}).collect()
+    n = {r["doc_id"]: (r["count(1)"], r["max(copy)"]) for r in got}
+    assert n[1][0] == n[1][1] and abs(n[1][0] - 400_000) < 5000
+    assert 2 not in n or n[2][0] == 2 * n[2][1]  # both rows have the same count
 
 
 def brute_repeats(texts, window):
@@ -330,7 +342,9 @@ def test_classifiers_on_held_out_rows(spark, sf_dir):
 def test_classifier_cases(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.score(odd, toxicity.fit(odd, none)).collect()} == {0.5}
-    assert toxicity.reject_toxic(odd, none).count() == 0  # 0.5 is above the threshold
+    with pytest.raises(ValueError):  # rather than to keep or drop a whole corpus unjudged
+        toxicity.reject_toxic(odd, none)
+    assert toxicity.reject_toxic(odd.limit(0), none).count() == 0
     vectors, net = quality.train(odd, none)
     assert quality.score(odd, vectors, net).count() == odd.count()
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd, langid.profiles(odd)).collect()}
@@ -338,6 +352,115 @@ def test_classifier_cases(spark, odd):
     assert langid.identify(odd, {}).filter("lang_pred = 'und'").count() == odd.count()
 
 
+def test_classifiers_on_empty_tables(spark, odd):
+    empty = odd.limit(0)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(empty, toxicity.fit(empty, none)).count() == 0
+    vectors, net = quality.train(empty, none)
+    assert quality.score(empty, vectors, net).count() == 0
+    assert langid.identify(empty, langid.profiles(empty)).count() == 0
+
+
+def test_langid_brute_force(spark):
+    """Profiles and out-of-place distances by plain dictionaries."""
+    draw = random.Random(3)
+    words = {"en": ["the", "and", "house", "of"], "de": ["der", "und", "Häuser", "von"], "fr": ["les", "et", "maisons", "où"]}
+    rows = [(i, " ".join(draw.choice(words[n]) + draw.choice([".", ",", ""]) for _ in range(draw.randrange(12))), n) for i in range(40) for n in ["en", "de", "fr"]]
+    docs = spark.createDataFrame([(3 * i + k, t, n) for k, (i, t, n) in enumerate(rows)], "doc_id long, text string, lang string")
+
+    def ranked(texts):
+        counts = {}
+        for text in texts:
+            runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+            for w in runs:
+                for g in [*w] + [a + b for a, b in zip(f" {w}", f"{w} ", strict=True)] + [f" {w} "[i : i + 3] for i in range(len(w))]:
+                    counts[g] = counts.get(g, 0) + 1
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.PROFILE]
+
+    profile = {n: ranked([" ".join(t for _, t, m in rows if m == n)]) for n in words}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.profiles(docs)).collect()}
+    for k, (i, t, _) in enumerate(rows):
+        top = ranked([t])
+        apart = {n: sum(abs(p.index(g) - r) if g in p else langid.PROFILE for r, g in enumerate(top)) for n, p in sorted(profile.items())}
+        best = min(apart, key=apart.get)
+        name, score = got[3 * i + k]
+        assert (name, round(score, 9)) == (("und", 0.0) if not top else (best, round(1 - apart[best] / (langid.PROFILE * len(top)), 9)))
+
+
+def test_toxicity_brute_force(spark):
+    """FTRL-proximal by a loop over single coordinates, in dictionaries."""
+    draw = random.Random(5)
+    texts = [(i, " ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(1, 9)))) for i in range(60)]
+    labels = [(i, int("a b" in t or "c" in t)) for i, t in texts]
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learned = toxicity.labelled_rows(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", 100).orderBy("id").collect()
+    alpha, beta, l1 = 2.0, 1.0, 4.0
+    z, n, b, nb = {}, {}, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha)
+    order, cache = np.random.default_rng(11), toxicity.WordCache()
+    rows = [(sorted(set(toxicity.features([r["text"].encode()], cache)[0].tolist())), r["y"]) for r in learned]
+    for _ in range(6):
+        for k in order.permutation(len(rows)):
+            at, y = rows[k]
+            w, w0 = {i: weight(i) for i in at}, -b / ((beta + nb**0.5) / alpha)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + w0))) - y
+            for i in at:
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+            s = ((nb + g * g) ** 0.5 - nb**0.5) / alpha
+            b, nb = b + g - s * w0, nb + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(model[0].tolist()) == set(want) and 0 < len(want) < len(z)
+    assert all(abs(want[i] - w) < 1e-4 for i, w in zip(model[0].tolist(), model[1].tolist(), strict=True))
+    assert abs(model[2] + b / ((beta + nb**0.5) / alpha)) < 1e-6
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, texts), model).collect()}
+    for i, t in texts:
+        logit = sum(want.get(k, 0.0) for k in set(toxicity.features([t.encode()], cache)[0].tolist())) + model[2]
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
+def test_quality_brute_force(spark, odd):
+    """Word vectors and pooling by loops over words; the network's gradient by finite differences of its loss."""
+    texts = [(1, "a b c a d"), (2, "b b a"), (3, "c d e f a b"), (4, None), (5, "a")]
+    docs = frame(spark, texts)
+    plus, minus = quality.index_vectors()
+    bucket = lambda w: xxhash.xxh64_intdigest(w) % quality.BUCKETS
+    sums = {}
+    for _, t in texts:
+        w = [bucket(x) for x in (t or "").split()]
+        for i in range(len(w)):
+            for j in range(max(0, i - quality.REACH), min(len(w), i + quality.REACH + 1)):
+                if i != j:
+                    v = sums.setdefault(w[i], np.zeros(quality.DIM))
+                    v[plus[w[j]]] += 1
+                    v[minus[w[j]]] -= 1
+    vectors = quality.word_vectors(docs)
+    unit = {}
+    for k, v in sums.items():
+        v = np.sign(v) * np.log1p(np.abs(v))
+        unit[k] = v / max(np.linalg.norm(v), 1e-9)
+        assert np.allclose(vectors[k], unit[k], atol=1e-6)
+    assert not np.delete(vectors, list(sums), axis=0).any()
+    pooled = quality.pool([(t or "").encode() for _, t in texts], vectors, quality.WordCache())
+    for (_, t), got in zip(texts, pooled, strict=True):
+        v = [unit.get(bucket(w), np.zeros(quality.DIM)) for w in (t or "").split()]
+        if not v:
+            assert not got.any()
+            continue
+        mean = sum(v) / len(v)
+        spread = np.sqrt(np.maximum(sum(x * x for x in v) / len(v) - mean**2, 0))
+        beside = sum((x * y for x, y in zip(v[:-1], v[1:], strict=True)), np.zeros(quality.DIM)) / len(v)
+        assert np.allclose(got, np.concatenate([mean, spread, beside, [np.log1p(len(v))]]), atol=2e-3)
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(300, 5))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)  # no single plane parts the classes
+    net = quality.fit_network(x, y)
+    assert np.mean((net.probability(x) > 0.5) == (y > 0.5)) > 0.9 and 0.25 <= net.temperature <= 8
+    loss = lambda t: np.mean(np.logaddexp(0, net.logit(x[240:]) / t) - y[240:] * net.logit(x[240:]) / t)
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.25, 8, 60))
+
+
 def test_lm_beats_shuffled_words(spark):
     draw = random.Random(1)
     texts = [(i, " ".join(draw.choice(["a b c d", "e f g h"]) for _ in range(100))) for i in range(600)]
@@ -417,6 +540,31 @@ def test_lm_on_an_empty_table(spark, odd):
     assert got[1] == (0, None) and got[6][0] == 30_000 and got[6] == got[7] and got[None][0] == 2
 
 
+def test_pipeline_stages_on_empty_tables(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).count() == docs.count()
+    with pytest.raises(ValueError):
+        corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_pipeline_rejects_toxic_documents(spark, sf_dir):
+    import corpus_pipeline
+
+    bigger = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{bigger}/documents.parquet")
+    kept = {r[0] for r in corpus_pipeline.drop_toxic(spark, docs, bigger).select("doc_id").collect()}
+    labels = [(d, y) for d, y in spark.read.parquet(f"{bigger}/labels.parquet").select("doc_id", "toxic").collect()]
+    gone = np.mean([d not in kept for d, y in labels if y == 1])
+    clean = np.mean([d in kept for d, y in labels if y == 0])
+    assert gone > 0.8 and clean > 0.8
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -79,7 +79,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     bloom = repeated_slots(hashed)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(id_col).alias("id"), fold_ascii(F.col(text)).alias("t"))
     rows = possibly_repeated(whole.withColumn("h", F.xxhash64("t")), *bloom)
-    groups = possibly_repeated(hashed, *bloom).filter("__maybe").groupBy("digest").agg(F.max(F.struct("id")).alias("top"))
+    # written, so that the join below has an exchange on either side and Spark can split a large group
+    groups = materialize(possibly_repeated(hashed, *bloom).filter("__maybe").groupBy("digest").agg(F.max(F.struct("id")).alias("top")), "groups")
     once = rows.filter(~F.col("__maybe")).select("row.*")
     copies = rows.filter("__maybe").select("row", "id", F.sha2(F.encode("t", "UTF-8"), 256).alias("digest"))
     # the winners' rows only: repeats of a whole row are what is left to drop

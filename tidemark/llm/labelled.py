@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.sampling import least_draws
+
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
     """Whether crc32(id as text) mod ``folds`` is ``fold``; a null id is never held out."""
@@ -15,19 +17,13 @@ def labelled_rows(
     docs: DataFrame, labels: DataFrame, label: str, max_rows: int, folds: int = 4, fold: int = 2,
     id_col: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(id, text, y): the documents of at most ``max_rows`` ids outside the held-out fold.
+    """(id, text, y): the documents of at most ``max_rows`` ids outside the held-out fold, a row an id.
 
-    The ids are drawn first, in the order of a hash, so only the sample's texts are moved. An id with
-    several labels counts once, with the larger; null ids and labels are left out.
+    The ids are drawn first, by a hash, so only the sample's texts are moved. An id with several labels
+    counts once, with the larger, and of several texts with the least; null ids and labels are left out.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     known = known.filter(~held_out(F.col("id"), folds, fold)).groupBy("id").agg(F.max("y").alias("y"))
-    drawn = known.orderBy(F.md5(F.encode(F.col("id").cast("string"), "UTF-8")), "id").limit(max_rows)
+    drawn = least_draws(known, ["id"], max_rows, 0)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "id").select("id", "text", "y")  # max_rows ids at most
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, **names) -> list[tuple[str, int]]:
-    """The (text, label) of ``labelled_rows``, in order of id, on the driver."""
-    rows = labelled_rows(docs, labels, label, max_rows, **names).limit(2 * max_rows).collect()
-    return [(t, y) for _, t, y in sorted(map(tuple, rows))]
+    return texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")  # max_rows ids at most

@@ -2,7 +2,7 @@
 
 Each source gets a mean repetition rate, target rows / rows at hand. Each document's count is the
 Poisson distribution of that mean, inverted at a uniform number hashed from seed and id; the
-document is exploded that many times and the copies are dealt out by a hash of seed, id and copy.
+document is exploded that many times, by blocks in several tasks where they are many, and the copies are dealt out by a hash of seed, id and copy.
 
 Defined cases: a null source is a source of its own; a null id hashes as the empty string; rows
 that repeat an id get the same count; a source that ``weights`` lacks has weight 0; empty tables
@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 #: More sources than this are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 10_000
-#: Standard deviations on either side of the mean that the table of a distribution spans.
+#: Standard deviations on either side of the mean within which a distribution is inverted.
 SPREAD = 13
+#: Copies of a document that one row is exploded to; a document of more is first dealt out in blocks.
+COPIES = 1_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -26,8 +30,8 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def poisson_table(rate: str) -> Column:
-    """struct(first, cdf): P(X <= first + i) for each i, of a Poisson distribution of any mean.
+def poisson_count(rate: str, u: str) -> Column:
+    """The least k with P(X <= k) >= u, of a Poisson distribution of any mean: probabilities are added up in one run.
 
     Starts where less than 1e-30 lies below; log-factorials by Stirling's series, exact to 1e-12
     from 10 on.
@@ -38,11 +42,11 @@ def poisson_table(rate: str) -> Column:
     p0 = f"exp(if({first} = 0, -{rate}, {k} * ln({rate}) - {rate} - {log_factorial}))"
     last = f"cast(ceil({rate} + {SPREAD} * sqrt({rate}) + 20) as int)"
     return F.expr(f"""
-        named_struct('first', {first}, 'cdf', aggregate(
+        aggregate(
             sequence({first} + 1, {last}),
-            named_struct('p', {p0}, 'cdf', array({p0})),
-            (a, k) -> named_struct('p', a.p * {rate} / k, 'cdf', concat(a.cdf, array(element_at(a.cdf, -1) + a.p * {rate} / k))),
-            a -> a.cdf))""")
+            named_struct('p', {p0}, 'cdf', {p0}, 'n', {first}),
+            (a, k) -> named_struct('p', a.p * {rate} / k, 'cdf', a.cdf + a.p * {rate} / k, 'n', a.n + if(a.cdf < {u}, 1, 0)),
+            a -> a.n + if(a.cdf < {u}, 1, 0))""")
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None, total: int | None, source: str) -> DataFrame:
@@ -68,15 +72,19 @@ def mix_sources(
     """
     if {copy_col, key_col} & set(docs.columns):
         raise ValueError(f"docs already has a column {copy_col} or {key_col}")
-    rates = source_rates(docs, weights, total, source).select(F.col("src").alias("__src"), poisson_table("rate").alias("__table"))
+    rates = materialize(source_rates(docs, weights, total, source).select(F.col("src").alias("__src"), F.col("rate").alias("__rate")), "rates")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     seeded = F.lit(str(seed))
-    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("__src"))).withColumn("__u", uniform(seeded, ident))
-    count = F.col("__table.first") + F.size(F.filter("__table.cdf", lambda c: c < F.col("__u")))
-    copies = counted.withColumn("__n", count).filter("__n > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(1), "__n")))
-    keyed = copies.select(
+    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("__src"))).withColumn("__u", uniform(seeded, ident)).withColumn("__n", poisson_count("__rate", "__u"))
+    few = counted.filter(F.col("__n").between(1, COPIES)).withColumn(copy_col, F.explode(F.sequence(F.lit(1), "__n")))
+    # only a source with few documents for its weight has such counts: blocks of their copies go to many tasks
+    dealt = counted.filter(F.col("__n") > COPIES).withColumn("__block", F.explode(F.sequence(F.lit(0), ((F.col("__n") - 1) / COPIES).cast("int"))))
+    dealt = dealt.repartition(F.xxhash64("__u", "__block"))
+    upto = F.least(F.col("__n"), (F.col("__block") + 1) * COPIES)
+    many = dealt.withColumn(copy_col, F.explode(F.sequence(F.col("__block") * COPIES + 1, upto))).drop("__block")
+    keyed = few.unionByName(many).select(
         *[F.col(f"`{c}`") for c in docs.columns], copy_col,
         F.md5(F.encode(F.concat_ws("|", seeded, ident, F.col(copy_col).cast("string")), "UTF-8")).alias(key_col),
     )

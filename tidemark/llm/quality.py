@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import held_out, labelled_sample
+from tidemark.llm.labelled import held_out, labelled_rows
 from tidemark.llm.textops import WordCache, as_bytes, blocks, mix, ragged, small_batches
 
 BUCKETS, DIM = 1 << 13, 32
@@ -160,11 +160,20 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: str = "doc
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, Network]:
+    """Texts of the sample are pooled where they are; ``max_rows`` rows of numbers come to the driver."""
     vectors = word_vectors(docs)
-    sample = labelled_sample(docs, labels, label, max_rows)
-    words_hash = WordCache()
-    x = np.vstack([pool([t.encode()], vectors, words_hash) for t, _ in sample] or [np.zeros((0, 3 * DIM + 1))])
-    return vectors, fit_network(x, np.array([y for _, y in sample], float))
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches):
+        words_hash = WordCache()
+        for batch in batches:
+            if batch.num_rows:
+                x = pool(as_bytes(batch.column(1)), shared.value, words_hash).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), batch.column(2)], names=["id", "x", "y"])
+
+    rows = sorted(map(tuple, labelled_rows(docs, labels, label, max_rows).mapInArrow(run, "id long, x array<double>, y int").collect()))
+    x = np.array([r[1] for r in rows]).reshape(-1, 3 * DIM + 1)
+    return vectors, fit_network(x, np.array([r[2] for r in rows], float))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ few weights, which are broadcast as two short arrays. It is fitted on a sample o
 bounded size (``max_rows``); scoring reads every whole text.
 
 Defined cases: null and wordless texts get the score of the intercept; where no label is at hand
-every score is 0.5; a repeated row is scored like the first; an empty table gives an empty result.
+every score is 0.5, and reject_toxic raises ValueError; a repeated row is scored like the first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from tidemark.llm.textops import FOLD_WORDS, WordCache, as_bytes, blocks, mix, r
 BITS = 20
 MAX_ROWS = 12_000
 THRESHOLD = 0.3
-#: Features of fewer sample rows are left out.
-LEAST_ROWS = 3
 
 
 def features(texts: list[bytes | None], words_hash: WordCache) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +70,7 @@ Model = tuple[np.ndarray, np.ndarray, float]
 
 def learn(rows: list[tuple[np.ndarray, int]], epochs: int = 6) -> Model:
     """(coordinates, weights, intercept) from rows of distinct coordinates and a label: the weights that are not zero."""
-    model, seen = Ftrl(), np.zeros(1 << BITS, np.int32)
-    for at, _ in rows:
-        seen[at] += 1
-    for i, (at, y) in enumerate(rows):  # in place: what one row alone has can't be learned
-        rows[i] = (at[seen[at] >= LEAST_ROWS], y)
+    model = Ftrl()
     order = np.random.default_rng(11)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
@@ -97,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         at, weights, intercept = learn(rows)
         yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.list_(pa.int64())), "weights": pa.array([weights], pa.list_(pa.float32())), "intercept": [intercept]})
 
-    sample = labelled_rows(docs, labels, label, max_rows).limit(2 * max_rows).repartition(1).sortWithinPartitions("id", "text")
+    sample = labelled_rows(docs, labels, label, max_rows).repartition(1).sortWithinPartitions("id", "text")
     found = sample.mapInArrow(run, "at array<long>, weights array<float>, intercept double").collect()
     at, weights, intercept = found[0] if found else ([], [], 0.0)
     return np.array(at, np.int64), np.array(weights, np.float32), intercept
@@ -134,14 +128,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs``, with all columns unchanged, that score below the threshold."""
+    """The rows of ``docs``, with all columns unchanged, that score below the threshold.
+
+    Without a label of either class there is nothing to judge by: ValueError, unless ``docs`` is empty.
+    """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows=max_rows))
+    model = fit(docs, labels, max_rows=max_rows)
+    if not len(model[0]) and model[2] == 0 and not docs.isEmpty():
+        raise ValueError("no labelled document outside the held-out fold: toxicity can't be learned")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches):
         scores = _scorer(shared.value)
         for block in blocks(batches):
-            yield from block.filter(pa.array(scores(as_bytes(block["text"])) < threshold)).to_batches()
+            yield from block.filter(pa.array(scores(as_bytes(block.column(at))) < threshold)).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 

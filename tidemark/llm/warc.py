@@ -34,11 +34,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import filters
 from tidemark.llm.textops import as_bytes, small_batches
 from tidemark.session import materialize, scratch_path
 
 #: A new archive is begun beyond so many bytes of records.
 ARCHIVE_BYTES = 256 << 20
+#: Tasks that archives are read in at most.
+MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records whose ranges lie this near are fetched in one read, of at most so many bytes.
@@ -64,11 +67,11 @@ def _page_of(urn: str) -> int | None:
     return int(number) if number else None
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
-    """One WARC/1.1 record; the payload's digest and length are those of the full payload."""
+def record(page_id, url: str | None, payload: bytes, size: int, digest: str, refers_to=None, revisit: bool = False) -> bytes:
+    """One WARC/1.1 record; digest and size are those of the full payload, which a revisit doesn't hold."""
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_page_urn(page_id)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {(url or 'urn:null').replace(chr(13), '').replace(chr(10), '')}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}",
+        f"WARC-Target-URI: {(url or 'urn:null').replace(chr(13), '').replace(chr(10), '')}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}",
     ]
     if revisit:
         lines += [f"WARC-Refers-To: {_page_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -210,11 +213,33 @@ def write_archives(pages: DataFrame, out_dir: str, page_id: str = "page_id", url
     """Writes the archives; (archive, records, bytes) of each."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("big", F.octet_length("html") >= min_bytes)
-    first = rows.filter("big").groupBy("sha1").agg(F.max(F.struct("page_id")).alias("top"))
-    joined = rows.join(first, "sha1", "left").select(
-        "page_id", "url", "html", "sha1", F.col("top.page_id").alias("first"), F.coalesce(F.col("big") & ~F.col("page_id").eqNullSafe(F.col("top.page_id")), F.lit(False)).alias("revisit")
-    )
+    rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long")).withColumn("big", F.col("size") >= min_bytes)
+    # decided on narrow rows: payloads move only where they may be written, and a copy's never
+    narrow = materialize(rows.select("page_id", "url", "sha1", "size", "big"), "pages")
+    groups = narrow.filter("big").groupBy("sha1").agg(F.max(F.struct("page_id")).alias("top"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # written, so that the joins below have an exchange on either side and Spark can split a large group
+    groups = materialize(groups, "groups")
+    bits = filters.bits_for(groups.count())
+    group, winner = filters.slot(F.xxhash64("sha1"), bits), filters.slot(F.xxhash64("sha1", "page_id"), bits)
+    bitmaps = [filters.bitmap_rows(x.select(s.alias("slot"))) for x, s in ((groups, group), (groups.select("sha1", "top.page_id"), winner))]
+
+    def marked(some: DataFrame) -> DataFrame:
+        """Whether a row may be of a group of copies, and the one of it that stays."""
+        for name, s, rows_of in (("grouped", group, bitmaps[0]), ("first", winner, bitmaps[1])):
+            side = F.broadcast(rows_of.select(F.col("bucket").alias("__b"), F.col("bits").alias("__m")))  # MAX_BITS / 8 bytes at most
+            some = some.withColumn("__s", s).join(side, F.bitmap_bucket_number("__s") == F.col("__b"), "left").withColumn(name, F.col("big") & filters.bit_set(F.col("__m"), F.col("__s"))).drop("__b", "__m", "__s")
+        return some
+
+    def decided(some: DataFrame) -> DataFrame:
+        revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("top").isNotNull(), F.lit(False))
+        out = some.join(groups, "sha1", "left").withColumn("revisit", revisit)
+        return out.select("page_id", "url", "html", "sha1", "size", F.col("top.page_id").alias("first"), "revisit")
+
+    whole = marked(rows)
+    single = whole.filter("NOT grouped").select("page_id", "url", "html", "sha1", "size", F.lit(None).cast("long").alias("first"), F.lit(False).alias("revisit"))
+    first = decided(whole.filter("grouped AND first"))
+    copies = decided(marked(narrow).filter("grouped AND NOT first").withColumn("html", F.lit("")))
+    joined = single.unionByName(first).unionByName(copies)
 
     def run(batches):
         zipped = sink = None
@@ -234,8 +259,8 @@ def write_archives(pages: DataFrame, out_dir: str, page_id: str = "page_id", url
             done.append((path, len(index), zipped.at))
 
         for batch in batches:
-            payloads, others = as_bytes(batch.column(2)), (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
-            for payload, number, target, sha1, top, revisit in zip(payloads, *others, strict=True):
+            payloads, others = as_bytes(batch.column(2)), (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))
+            for payload, number, target, sha1, size, top, revisit in zip(payloads, *others, strict=True):
                 if zipped is None:
                     folder, at = open_fs(out_dir)
                     folder.create_dir(at)
@@ -244,7 +269,7 @@ def write_archives(pages: DataFrame, out_dir: str, page_id: str = "page_id", url
                     zipped, index = ZipWriter(sink), []
                     begun = zipped.begin(MEMBER)
                 digest = digest32(sha1)
-                member = gzip_member(record(number, target, payload, digest, top, revisit))
+                member = gzip_member(record(number, target, payload, size, digest, top, revisit))
                 index.append(f"{json.dumps(_page_urn(number))} {json.dumps({'offset': zipped.at - begun, 'length': len(member), 'digest': digest})}\n".encode())
                 zipped.write(member)
                 if zipped.at >= ARCHIVE_BYTES:
@@ -282,7 +307,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         rows = [_row(chunk[x["offset"] - begin : x["offset"] - begin + x["length"]], with_payload) for x in run_of]
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    names = manifest.select("archive").repartition(F.col("archive"))
+    # a number of partitions of its own, or archives would be gathered by the size of their names
+    names = manifest.select("archive").repartition(min(MOST_TASKS, 2 * manifest.count() + 1), "archive")
     return names.mapInArrow(run, READ)
 
 
