@@ -44,6 +44,13 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def select_columns(df: DataFrame, required: Sequence[str], keep_extra: bool = False) -> DataFrame:
+    """The required columns that are there, then features (n_ and r_), then with ``keep_extra`` all others."""
+    first = [c for c in required if c in df.columns]
+    first += [c for c in df.columns if c.startswith(("n_", "r_")) and c not in first]
+    return df.select(*first, *[c for c in df.columns if keep_extra and c not in first])
+
+
 def coerce(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Numbers or null; "label" clips to 0 and 1; a "date-number" that is text stays text."""
     kinds = dict(df.dtypes)

@@ -63,19 +63,38 @@ def unparsed_examples(df: DataFrame, column: str, parsed_column: str, most: int
     return df.filter(F.col(column).isNotNull() & F.col(parsed_column).isNull()).select(column).distinct().orderBy(column).limit(most)
 
 
-def detect_columns(columns: Sequence[str]) -> dict[str, list[str]]:
-    """Columns whose names say date-time or identifier."""
-    has = lambda c, words: any(w in c.lower() for w in words)
-    return {"datetime": [c for c in columns if has(c, ("time", "date", "day"))], "id": [c for c in columns if has(c, ("disk", "serial", "id"))]}
-
-
-def detect_datetime_columns(df: DataFrame, rows: int = 1000, rate: float = 0.5) -> list[str]:
-    """Columns named as dates, or of whose text more than ``rate`` parses in a sample of bounded size."""
-    sample = df.limit(rows)
-    texts = [c for c, t in df.dtypes if t == "string"]
-    named = set(detect_columns(df.columns)["datetime"])
-    shares = sample.agg(F.lit(0).alias("__"), *[(F.count(F.coalesce(*[f(F.col(c)) for f in candidate_formats().values()])) / F.greatest(F.count(c), F.lit(1))).alias(c) for c in texts]).first()
-    return [c for c in df.columns if c in named or (c in texts and shares[c] > rate)]
+# Parts of column names that tell what a column holds.
+DATETIME_NAMES = ("time", "date", "timestamp", "failure_date", "fail_time", "fail_date", "event_time", "event_date")
+ID_NAMES = ("disk_id", "diskid", "serial", "serial_number", "serialnumber", "device_id", "deviceid", "id")
+
+
+def detect_id_column(columns: Sequence[str]) -> str | None:
+    """The first column whose name, in lower case, has a part that says identifier."""
+    return next((c for c in columns if any(w in c.lower() for w in ID_NAMES)), None)
+
+
+def detect_datetime_column(df: DataFrame, rows: int = 100, rate: float = 0.5) -> str | None:
+    """The column of failure days: "failure_time", else the first that is named as one and has values, else the first that parses.
+
+    It parses if it is a date or more than ``rate`` of its first ``rows`` texts are in a known pattern.
+    """
+    if "failure_time" in df.columns:
+        return "failure_time"
+    known = df.agg(*[F.count(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    held = [c for i, c in enumerate(df.columns) if known[i]]
+    named = [c for c in held if any(w in c.lower() for w in DATETIME_NAMES)]
+    if named:
+        return named[0]
+    kinds = dict(df.dtypes)
+    for c in held:
+        if kinds[c] in ("date", "timestamp", "timestamp_ntz"):
+            return c
+        if kinds[c] == "string":
+            sample = df.select(F.col(c).alias("c")).dropna().limit(rows)
+            share = sample.agg(F.avg(F.when(F.coalesce(*[f(F.col("c")) for f in candidate_formats().values()]).isNotNull(), 1.0).otherwise(0.0))).first()[0]
+            if share > rate:
+                return c
+    return None
 
 
 def first_failure(failures: DataFrame, entity: Sequence[str], when: str, order: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from tidemark.operators import metrics
 from tidemark.operators.audit import cell_missing_pct
 from tidemark.operators.ranks import percentiles
 from tidemark.operators.sampling import cap_keep_positives, downsample_negatives
+from tidemark.operators.temporal import select_features
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Config:
     eval_cap: int = 2_000_000
     trees: int = 200
     depth: int | None = None
-    iterations: int = 200
+    iterations: int | None = None  # 200 for lr, 300 for gbt
     seed: int = 42
 
     @property
@@ -90,11 +91,11 @@ def fit(train: DataFrame, features: Sequence[str], config: Config):
     data = VectorAssembler(inputCols=list(features), outputCol="__x").transform(weighted.withColumn("__y", F.col(config.label).cast("double")))
     shared = {"featuresCol": "__x", "labelCol": "__y", "weightCol": "__w"}
     if config.model == "lr":  # C = 1 is a penalty of 1 / (sum of weights)
-        learner = LogisticRegression(maxIter=config.iterations, regParam=1 / max(total, 1.0), elasticNetParam=0.0, standardization=False, **shared)
+        learner = LogisticRegression(maxIter=config.iterations or 200, regParam=1 / max(total, 1.0), elasticNetParam=0.0, standardization=False, **shared)
     elif config.model == "rf":
         learner = RandomForestClassifier(numTrees=config.trees, maxDepth=min(config.depth or 30, 30), minInstancesPerNode=1, seed=config.seed, **shared)
     elif config.model == "gbt":
-        learner = GBTClassifier(maxIter=config.iterations, maxDepth=config.depth or 6, stepSize=0.05, subsamplingRate=0.8, seed=config.seed, **shared)
+        learner = GBTClassifier(maxIter=config.iterations or 300, maxDepth=config.depth or 6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=config.seed, **shared)
     else:
         raise ValueError(f"unknown model {config.model}")
     return learner.fit(data)
@@ -112,7 +113,11 @@ def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def train_and_evaluate(parts: dict[str, DataFrame], features: Sequence[str], key: Sequence[str], config: Config) -> DataFrame:
-    """Fit on train, choose the threshold on val, report val and test: a metrics row for each."""
+    """Fit on train, choose the threshold on val, report val and test: a metrics row for each.
+
+    Of ``features`` those of the configuration's feature set are used.
+    """
+    features = list(features) if config.feature_set == "all" else select_features(features, config.feature_set, ())
     train = cap_keep_positives(parts["train"], config.label, key, config.train_cap, config.seed)
     if config.negative_ratio:
         train = downsample_negatives(train, config.label, key, config.negative_ratio, config.seed)

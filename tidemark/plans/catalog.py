@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import audit, cleaning, labels, metrics, models, ranking, sampling, splits, temporal
+from tidemark.session import scratch_path
+from tidemark.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +86,7 @@ BASE = f"WITH {TELEMETRY}, {FAILURES}, {FIRST}, {LABELLED}"
 DAILY = "daily AS (SELECT user_id, ts::DATE AS day, max(value) AS r_1, count(*)::DOUBLE AS r_2 FROM events GROUP BY 1, 2)"
 SCORED = "scored AS (SELECT d.doc_id, (d.n_chars % 97) / 96.0::DOUBLE AS score, l.toxic, l.quality, d.n_chars FROM documents d JOIN labels l USING (doc_id))"
 HORIZONS = ["y_7", "y_14", "y_30"]
+_JANUARY = {"train": ("2024-01-01", "2024-01-15"), "val": ("2024-01-16", "2024-01-22"), "test": ("2024-01-23", "2024-01-31")}
 FEATURES = ["r_qty", "r_price", "n_disc", "n_tax", "n_const"]
 WINDOWS = {"train": ("1995-01-01", "1998-12-31"), "val": ("1999-01-01", "1999-06-30"), "test": ("1999-07-01", "1999-12-31")}
 ENTITY = ["o_custkey", "o_orderpriority"]
@@ -422,25 +425,22 @@ def qa_acceptance_clean(spark, sf_dir):
     return audit.acceptance(clean, "user_id", "event_type", "day", HORIZONS, (), "2000-01-01", "2100-01-01")
 
 
-def _file_schemas(spark, sf_dir):
-    """Event types as files: each has the columns that its rows fill."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")).alias("file")).agg(
-        F.when(F.first(F.col("user_id") % 7) == 3, F.array(F.lit("id"), F.lit("day"))).otherwise(F.array(F.lit("id"), F.lit("day"), F.lit("value"))).alias("columns")
-    )
+def _files(spark, sf_dir):
+    """Files with columns and types of their own, written from the events of each type."""
+    e, root = telemetry(spark, sf_dir), scratch_path(spark, "files")
+    for name, columns in (("click", ["user_id", "day", "value"]), ("error", ["user_id", "day"]), ("purchase", ["user_id", "day", "cast(value as string) AS value"]), ("view", ["user_id", "day", "value"])):
+        e.filter(F.col("event_type") == name).selectExpr(*columns).coalesce(1).write.parquet(f"{root}/{name}")
+    return tables.file_schemas(spark, f"{root}/*/*.parquet")
 
 
-@query("""WITH f AS (SELECT DISTINCT event_type, user_id % 7 AS k FROM events), s AS (SELECT CASE WHEN k = 3 THEN 'day,id' ELSE 'day,id,value' END AS schema, count(*) AS n_files FROM f GROUP BY 1)
-SELECT schema, n_files, schema = (SELECT min(schema) FROM s WHERE n_files = (SELECT max(n_files) FROM s)) AS is_mode FROM s""")
+@query("SELECT * FROM (VALUES ('day,user_id,value', 3::BIGINT, true), ('day,user_id', 1::BIGINT, false)) t(schema, n_files, is_mode)")
 def schema_drift(spark, sf_dir):
-    return audit.schema_drift(_file_schemas(spark, sf_dir))
+    return audit.schema_drift(_files(spark, sf_dir).groupBy("file").agg(F.collect_list("column").alias("columns")))
 
 
-@query("""WITH t AS (SELECT event_type AS "column", CASE WHEN user_id % 2 = 1 AND event_type IN ('error', 'click') THEN 'string' ELSE 'double' END AS dtype FROM events)
-SELECT "column", string_agg(DISTINCT dtype, ',' ORDER BY dtype) AS dtypes, count(DISTINCT dtype) AS n_types FROM t GROUP BY 1 HAVING count(DISTINCT dtype) > 1""")
+@query("""SELECT 'value' AS "column", 'double,string' AS dtypes, 2::BIGINT AS n_types""")
 def dtype_drift(spark, sf_dir):
-    odd = (F.col("user_id") % 2 == 1) & F.col("event_type").isin("error", "click")
-    return audit.dtype_drift(table(spark, sf_dir, "events").select(F.col("event_type").alias("column"), F.when(odd, "string").otherwise("double").alias("dtype")))
+    return audit.dtype_drift(_files(spark, sf_dir))
 
 
 # ---- splits
@@ -556,10 +556,46 @@ def model_code(spark, sf_dir):
     return temporal.add_model_code(e, temporal.model_codes(e.filter("event_type <> 'error'"), "event_type"), "event_type").select("event_id", "model_code")
 
 
-@query()
+_PAST = "OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL {0} DAYS PRECEDING AND {1})"
+_EACH = ", ".join(
+    f"round({x}, 6) AS {n}_log1p_{c}" for c in ("r_1", "r_2") for n, x in (
+        ("delta1", f"l_{c} - first_value(l_{c}) {_PAST.format(1, 'INTERVAL 1 DAYS PRECEDING')}"), ("delta7", f"l_{c} - first_value(l_{c}) {_PAST.format(7, 'INTERVAL 7 DAYS PRECEDING')}"),
+        ("instab", f"abs(l_{c} - first_value(l_{c}) {_PAST.format(1, 'INTERVAL 1 DAYS PRECEDING')})"), ("rollmean7", f"avg(l_{c}) {_PAST.format(6, 'CURRENT ROW')}"), ("rollstd7", f"stddev_samp(l_{c}) {_PAST.format(6, 'CURRENT ROW')}"),
+    )
+)
+
+
+@query(f"""WITH {DAILY}, t AS (SELECT *, ln(1 + greatest(r_1, 0)) AS l_r_1, ln(1 + greatest(r_2, 0)) AS l_r_2, min(day) OVER (PARTITION BY user_id) AS seen FROM daily)
+SELECT user_id, day, round(r_1, 6) AS r_1, r_2, 'm' AS model, (day - seen)::DOUBLE AS age_days, round(l_r_1, 6) AS log1p_r_1, round(l_r_2, 6) AS log1p_r_2, {_EACH}, 0::INTEGER AS model_code FROM t""")
 def engineered(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("model", F.lit("m"))
-    return temporal.engineer(d, d, ["user_id"], "day", "model", ["r_1", "r_2"])
+    out = temporal.engineer(d, d, ["user_id"], "day", "model", ["r_1", "r_2"])
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
+@query(f"WITH {DAILY}, t AS (SELECT user_id % 3 AS part, (day - min(day) OVER (PARTITION BY user_id))::DOUBLE AS age FROM daily) SELECT part::INTEGER AS part, min(age) AS min_age, max(age) AS max_age, round(avg(age), 6) AS mean_age FROM t GROUP BY 1")
+def age_summary(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    aged = temporal.add_age(d, temporal.first_seen(d, ["user_id"], "day"), ["user_id"], "day")
+    return temporal.age_summary(aged.withColumn("part", (F.col("user_id") % 3).cast("int")), ["part"])
+
+
+@query("""SELECT * FROM (VALUES ('rows_kept', true), ('keys_present', true), ('age_not_negative', true), ('log1p_finite', true), ('family_delta', true), ('family_rollmean', true), ('family_rollvar', false)) t("check", ok)""")
+def smoke_checks(spark, sf_dir):
+    d = daily(spark, sf_dir).withColumn("model", F.lit("m"))
+    out = temporal.engineer(d, d, ["user_id"], "day", "model", ["r_1", "r_2"])
+    return audit.smoke_checks(out, d.count(), ["user_id", "day"], {"delta": "delta1_", "rollmean": "rollmean7_", "rollvar": "rollvar7_"})
+
+
+@query(f"""WITH {TELEMETRY}, {FAILURES}, {FIRST}, {LABELLED}, s AS (SELECT *, CASE WHEN day <= DATE '2024-01-15' THEN 'train' WHEN day <= DATE '2024-01-22' THEN 'val' ELSE 'test' END AS split FROM labelled WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31')
+SELECT split, count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (y_7 = 1) AS y_7_pos, count(*) FILTER (y_14 = 1) AS y_14_pos, count(*) FILTER (y_30 = 1) AS y_30_pos FROM s GROUP BY 1""")
+def split_label_stats(spark, sf_dir):
+    return splits.split_labels(splits.disjoint_splits(labelled(spark, sf_dir), "day", _JANUARY, ["event_id"], "none"), HORIZONS, "day")
+
+
+@query(f"WITH {LINES} SELECT l_orderkey, r_qty, r_price, n_disc, n_tax, n_const, l_linenumber, day FROM lines")
+def select_columns(spark, sf_dir):
+    return cleaning.select_columns(lines(spark, sf_dir), ["l_orderkey", "absent"], keep_extra=True)
 
 
 # ---- ranking
@@ -675,7 +711,7 @@ def median_impute_scale(spark, sf_dir):
 
 def _model_parts(spark, sf_dir):
     d = labelled(spark, sf_dir).select("event_id", "day", "value", F.dayofweek("day").cast("double").alias("dow"), F.length("event_type").cast("double").alias("kind"), "y_14")
-    return splits.disjoint_splits(d, "day", {"train": ("2024-01-01", "2024-01-15"), "val": ("2024-01-16", "2024-01-22"), "test": ("2024-01-23", "2024-01-31")}, ["event_id"], "none")
+    return splits.disjoint_splits(d, "day", _JANUARY, ["event_id"], "none")
 
 
 def _run(spark, sf_dir, config):
@@ -697,6 +733,9 @@ def gbt_train_eval(spark, sf_dir):
     return _run(spark, sf_dir, models.Config("y_14", "gbt", iterations=5, depth=3))
 
 
-@query()
+@query(f"""{BASE}, s AS (SELECT CASE WHEN day <= DATE '2024-01-22' THEN 'val' ELSE 'test' END AS split, y_14 FROM labelled WHERE day BETWEEN DATE '2024-01-16' AND DATE '2024-01-31'),
+c AS (SELECT split, count(*) FILTER (y_14 = 0) AS tn, count(*) FILTER (y_14 = 1) AS fn FROM s GROUP BY 1)
+SELECT 'never_y_14' AS experiment, split, 0.5::DOUBLE AS threshold, tn, 0::BIGINT AS fp, fn, 0::BIGINT AS tp, round(tn::DOUBLE / (tn + fn), 6) AS accuracy, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1,
+round(fn::DOUBLE / (tn + fn), 6) AS average_precision, CASE WHEN tn > 0 AND fn > 0 THEN 0.5 ELSE 0 END::DOUBLE AS roc_auc, 0.0::DOUBLE AS train_missing_pct FROM c""")
 def never_train_eval(spark, sf_dir):
     return _run(spark, sf_dir, models.Config("y_14", "never"))

@@ -47,6 +47,16 @@ def read_csv_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return out
 
 
+def file_schemas(spark: SparkSession, paths: str | Sequence[str], kind: str = "parquet") -> DataFrame:
+    """(file, place, column, dtype) as each file says itself: from footers, or from a CSV file's header and rows."""
+    files = list_files(spark, paths) if isinstance(paths, str) else list(paths)
+    if not files:
+        raise FileNotFoundError(f"no files: {paths}")
+    reader = spark.read.option("header", "true").option("inferSchema", "true").format(kind)
+    rows = [(f, i, c, t) for f in files for i, (c, t) in enumerate(reader.load(f).dtypes)]
+    return spark.createDataFrame(rows, "file string, place int, column string, dtype string")
+
+
 def read_months(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """A year=/month= partitioned table; the first ``most`` partitions in order, by a pruning filter."""
     df = spark.read.option("mergeSchema", "true").parquet(path)
@@ -98,7 +108,8 @@ def report_markdown(title: str, sections: Mapping[str, DataFrame]) -> str:
 
 
 def save_text(spark: SparkSession, text: str, path: str) -> None:
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="")
+    """One text file, which ends with a line break."""
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def save_map(df: DataFrame, path: str) -> None:
@@ -160,6 +171,6 @@ def known_features(config: Mapping, columns: Sequence[str], section: str = "feat
     return [c for c in config.get(section, []) if c in set(columns)]
 
 
-def month_counts_from_metadata(spark: SparkSession, path: str) -> int:
+def row_count_from_footers(spark: SparkSession, path: str) -> int:
     """Rows of a parquet table: no column is read, so footers are enough."""
     return spark.read.parquet(path).count()
