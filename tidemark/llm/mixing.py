@@ -78,13 +78,15 @@ def mix_sources(
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     seeded = F.lit(str(seed))
     counted = docs.join(rates, F.col(source).eqNullSafe(F.col("__src"))).withColumn("__u", uniform(seeded, ident)).withColumn("__n", poisson_count("__rate", "__u"))
-    few = counted.filter(F.col("__n").between(1, COPIES)).withColumn(copy_col, F.explode(F.sequence(F.lit(1), "__n")))
-    # only a source with few documents for its weight has such counts: blocks of their copies go to many tasks
-    dealt = counted.filter(F.col("__n") > COPIES).withColumn("__block", F.explode(F.sequence(F.lit(0), ((F.col("__n") - 1) / COPIES).cast("int"))))
-    dealt = dealt.repartition(F.xxhash64("__u", "__block"))
-    upto = F.least(F.col("__n"), (F.col("__block") + 1) * COPIES)
-    many = dealt.withColumn(copy_col, F.explode(F.sequence(F.col("__block") * COPIES + 1, upto))).drop("__block")
-    keyed = few.unionByName(many).select(
+    copied = counted.filter(F.col("__n").between(1, COPIES)).withColumn(copy_col, F.explode(F.sequence(F.lit(1), "__n")))
+    rate = rates.agg(F.max("__rate")).first()[0] or 0.0
+    if rate + SPREAD * rate**0.5 + 21 > COPIES:  # else no document can have more
+        # a source with few documents for its weight: blocks of their copies go to many tasks
+        dealt = counted.filter(F.col("__n") > COPIES).withColumn("__block", F.explode(F.sequence(F.lit(0), ((F.col("__n") - 1) / COPIES).cast("int"))))
+        dealt = dealt.repartition(F.xxhash64("__u", "__block"))
+        upto = F.least(F.col("__n"), (F.col("__block") + 1) * COPIES)
+        copied = copied.unionByName(dealt.withColumn(copy_col, F.explode(F.sequence(F.col("__block") * COPIES + 1, upto))).drop("__block"))
+    keyed = copied.select(
         *[F.col(f"`{c}`") for c in docs.columns], copy_col,
         F.md5(F.encode(F.concat_ws("|", seeded, ident, F.col(copy_col).cast("string")), "UTF-8")).alias(key_col),
     )
