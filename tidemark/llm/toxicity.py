@@ -79,7 +79,7 @@ def learn(rows: list[tuple[np.ndarray, int]], epochs: int = 6) -> Model:
     return at, model.weights(at).astype(np.float32), float(model.intercept)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text: str = "text") -> Model:
     """Learns in one task from the sample of ``max_rows`` rows; only the weights come to the driver."""
     small_batches(docs.sparkSession)
 
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         at, weights, intercept = learn(rows)
         yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.list_(pa.int64())), "weights": pa.array([weights], pa.list_(pa.float32())), "intercept": [intercept]})
 
-    sample = labelled_rows(docs, labels, label, max_rows).repartition(1).sortWithinPartitions("id", "text")
+    sample = labelled_rows(docs, labels, label, max_rows, id_col=id_col, text=text).repartition(1).sortWithinPartitions("id", "text")
     found = sample.mapInArrow(run, "at array<long>, weights array<float>, intercept double").collect()
     at, weights, intercept = found[0] if found else ([], [], 0.0)
     return np.array(at, np.int64), np.array(weights, np.float32), intercept
@@ -127,21 +127,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns unchanged, that score below the threshold.
 
     Without a label of either class there is nothing to judge by: ValueError, unless ``docs`` is empty.
     """
     small_batches(docs.sparkSession)
-    model = fit(docs, labels, max_rows=max_rows)
+    model = fit(docs, labels, max_rows=max_rows, id_col=id_col, text=text)
     if not len(model[0]) and model[2] == 0 and not docs.isEmpty():
         raise ValueError("no labelled document outside the held-out fold: toxicity can't be learned")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches):
         scores = _scorer(shared.value)
-        for block in blocks(batches):
+        for block in blocks(batches, text):
             yield from block.filter(pa.array(scores(as_bytes(block.column(at))) < threshold)).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
