@@ -238,20 +238,21 @@ class WindowNetwork:
         return np.concatenate([x.ravel() for x in self.p])
 
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs, a row a word, and hidden units, a column a word: sums over few units are faster down columns."""
         x = self.p[0][around].reshape(len(around), -1)
-        return x, np.tanh(x @ self.p[1] + self.p[2])
+        return x, np.tanh(self.p[1].T @ x.T + self.p[2].T)
 
     def steps(self, h: np.ndarray, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the branches, and of the leaves of the branch that the word is in."""
-        return h @ self.p[3] + self.p[4], h @ self.p[5] + self.p[6][branch]
+        """Logits of the branches, and of the leaves of the branch that the word is in, a column a word."""
+        return self.p[3].T @ h + self.p[4].T, self.p[5].T @ h + np.take(self.p[6].T, branch, axis=1)
 
     def log_prob(self, around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of each leaf given the words around."""
         n, (branch, twig) = np.arange(len(leaf)), np.divmod(leaf, BRANCHES)
         total = np.zeros(len(leaf), np.float32)
         for out, at in zip(self.steps(self.hidden(around)[1], branch), (branch, twig), strict=True):
-            most = out.max(axis=1)
-            total += out[n, at] - most - np.log(np.exp(out - most[:, None]).sum(axis=1))
+            out -= out.max(axis=0)
+            total += out[at, n] - np.log(np.exp(out).sum(axis=0))
         return total
 
     def learn(self, around: np.ndarray, leaf: np.ndarray, rate: float) -> None:
@@ -259,15 +260,17 @@ class WindowNetwork:
         x, h = self.hidden(around)
         g = []
         for out, at in zip(self.steps(h, branch), (branch, twig), strict=True):
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            out /= out.sum(axis=1, keepdims=True)
-            out[n, at] -= 1
-            g.append(out / len(n))
-        gh = (g[0] @ self.p[3].T + g[1] @ self.p[5].T) * (1 - h * h)
-        gx = (gh @ self.p[1].T).reshape(-1, WIDTH)
-        for i, d in ((1, x.T @ gh), (2, gh.sum(axis=0)), (3, h.T @ g[0]), (4, g[0].sum(axis=0)), (5, h.T @ g[1])):
+            out -= out.max(axis=0)
+            np.exp(out, out=out)
+            out /= out.sum(axis=0) * np.float32(len(n))
+            out[at, n] -= np.float32(1 / len(n))
+            g.append(out)
+        gh = (self.p[3] @ g[0] + self.p[5] @ g[1]) * (1 - h * h)
+        gx = (gh.T @ self.p[1].T).reshape(-1, WIDTH)
+        own = np.zeros((BRANCHES, len(n)), np.float32)
+        own[branch, n] = 1
+        for i, d in ((1, x.T @ gh.T), (2, gh.sum(axis=1)), (3, h @ g[0].T), (4, g[0].sum(axis=1)), (5, h @ g[1].T), (6, own @ g[1].T)):
             self.p[i] -= rate * d
-        _add_rows(self.p[6], branch, g[1], rate)
         _add_rows(self.p[0], around.ravel(), gx, rate * 10)
 
 
