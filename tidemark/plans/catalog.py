@@ -725,12 +725,12 @@ def lr_train_eval(spark, sf_dir):
 
 @query()
 def rf_train_eval(spark, sf_dir):
-    return _run(spark, sf_dir, models.Config("y_14", "rf", trees=10, depth=6, negative_ratio=2))
+    return _run(spark, sf_dir, models.Config("y_14", "rf", negative_ratio=2))
 
 
 @query()
 def gbt_train_eval(spark, sf_dir):
-    return _run(spark, sf_dir, models.Config("y_14", "gbt", iterations=5, depth=3))
+    return _run(spark, sf_dir, models.Config("y_14", "gbt"))
 
 
 @query(f"""{BASE}, s AS (SELECT CASE WHEN day <= DATE '2024-01-22' THEN 'val' ELSE 'test' END AS split, y_14 FROM labelled WHERE day BETWEEN DATE '2024-01-16' AND DATE '2024-01-31'),
