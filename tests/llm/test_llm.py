@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -40,6 +41,23 @@ def test_exact_dedup_cases(spark, odd):
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 29])
+def test_exact_dedup_with_a_full_filter(spark, monkeypatch, bits):
+    """20,000 texts against brute force, where a filter of one block is far too full and where it isn't."""
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", bits)
+    texts = [(i, f"Text {i % 15_000 if i % 3 else 0}") for i in range(20_000)] + [(None, "text 0"), (None, "alone"), (19_999, "text 4999")]
+    docs = frame(spark, texts).repartition(7)
+    best = {}
+    for i, t in texts:
+        best[t.lower()] = max(best.get(t.lower(), -1), -1 if i is None else i)
+    kept = [(r["text"].lower(), -1 if r["doc_id"] is None else r["doc_id"]) for r in exact_dedup.exact_dedup(docs).select("doc_id", "text").collect()]
+    assert dict(kept) == best and len(kept) == len(best)
+    hashed = exact_dedup.materialize(exact_dedup.digests(docs), "digests")
+    maybe = exact_dedup.probed(hashed, exact_dedup.repeated_slots(hashed)).filter("__maybe").count()
+    repeats = sum(n for n in Counter(t.lower() for _, t in texts).values() if n > 1)
+    assert repeats <= maybe and (bits < 1 << 20 or maybe < 1.02 * repeats)
+
+
 def test_mixing_rates_and_cases(spark):
     docs = frame(spark, [(i, "t") for i in range(2000)]).selectExpr("doc_id", "text", "if(doc_id < 1500, 'a', if(doc_id < 1990, 'b', null)) AS source")
     weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, weight double")

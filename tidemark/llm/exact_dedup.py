@@ -1,8 +1,15 @@
 """Exact deduplication by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass 1 hashes every text and counts how often each of the k Bloom slots is hit; slots hit once are
-proof that a hash is unique. Pass 2 probes the bitmap of repeated slots: rows that miss it pass
-straight through; the others shuffle by digest, pre-aggregated, and are resolved exactly.
+Pass 1 hashes every text and counts how often each Bloom slot is hit; slots hit once are proof that
+a hash is unique. Pass 2 probes the bitmap of repeated slots: rows that miss it pass straight
+through; the others shuffle by digest, pre-aggregated, and are resolved exactly. All slots of a hash
+lie in one 4 KB block, so a row is probed by one join with the broadcast blocks.
+
+That filter grows with the rows up to MAX_BITS (64 MB) and then lets more digests through, never
+fewer. Whole texts are not probed with it but with filters that grow with what repeats: one of the
+hashes that do occur twice, and one of the rows among them that stay. So a text that has no copy
+passes straight through, and copies that go are dropped where they are read; what moves are the
+texts that stay of a group, and false positives.
 
 Defined cases: a null text counts as empty (empty texts equal each other); a null id is smaller
 than any other; of rows that repeat id and text one is kept; an empty table gives an empty result;
@@ -11,6 +18,9 @@ other columns are untouched, whatever their names.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +28,20 @@ from tidemark.llm import filters
 from tidemark.llm.textops import fold_ascii
 from tidemark.session import materialize
 
-#: Bloom hash functions.
+#: Most slots of a hash; fewer where the filter is so full that they would tell less apart.
 PROBES = 3
+#: Bits of a filter at most: 64 MB, the bound of what is broadcast.
+MAX_BITS = 1 << 29
+#: Bits of a bitmap's block.
+BLOCK = 1 << 15
+
+
+class Bloom(NamedTuple):
+    """Bitmap rows, bits in all, and slots of a hash."""
+
+    rows: DataFrame
+    bits: int
+    probes: int
 
 
 def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -28,33 +50,50 @@ def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     return folded.select("id", F.sha2(F.encode("t", "UTF-8"), 256).alias("digest"), F.xxhash64("t").alias("h"))
 
 
-def _slots(h, bits: int):
-    return [filters.slot(F.xxhash64(h, F.lit(i)), bits) for i in range(PROBES)]
+def _shape(n: int) -> tuple[int, int]:
+    """(bits, probes) of a filter of n hashes: the probes with the fewest false positives."""
+    bits = filters.bits_for(n, 8 * PROBES, MAX_BITS)
+    return bits, min(range(1, PROBES + 1), key=lambda k: (1 - math.exp(-k * n / bits)) ** k)
+
 
+def _slots(h, bits: int, probes: int):
+    """Slots of a hash: a block by the hash, places in the block by digits of another one."""
+    start, places = F.pmod(h, F.lit(bits // BLOCK)) * BLOCK, F.xxhash64(h, F.lit(0))
+    return [start + F.shiftrightunsigned(places, 15 * i).bitwiseAND(F.lit(BLOCK - 1)) + 1 for i in range(probes)]
 
-def repeated_slots(hashed: DataFrame) -> tuple[DataFrame, int]:
-    """Pass 1: bitmap rows of the slots that more than one row hits, and the number of slots."""
-    bits = filters.bits_for(hashed.count(), 8 * PROBES)
-    hits = hashed.select(F.explode(F.array(*_slots(F.col("h"), bits))).alias("slot"))
+
+def repeated_slots(hashed: DataFrame) -> Bloom:
+    """Pass 1: the slots that more than one row hits."""
+    bits, probes = _shape(hashed.count())
+    hits = hashed.select(F.explode(F.array(*_slots(F.col("h"), bits, probes))).alias("slot"))
     rows = filters.bitmap_rows(hits.groupBy("slot").count().filter("count > 1").select("slot"))
-    return materialize(rows, "bloom"), bits
+    return Bloom(materialize(rows, "bloom"), bits, probes)
+
+
+def hit_slots(hashed: DataFrame) -> Bloom:
+    """A filter of all hashes of ``hashed``, a written table."""
+    bits, probes = _shape(hashed.count())
+    hits = hashed.select(F.explode(F.array(*_slots(F.col("h"), bits, probes))).alias("slot"))
+    return Bloom(materialize(filters.bitmap_rows(hits), "bloom"), bits, probes)
 
 
-def possibly_repeated(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Pass 2: ``rows`` (with h) and a column ``__maybe``. The broadcast is MAX_BITS / 8 bytes at most."""
-    maybe = F.lit(True)
-    for i, at in enumerate(_slots(F.col("h"), bits)):
-        side = F.broadcast(bitmap.select(F.col("bucket").alias(f"__b{i}"), F.col("bits").alias(f"__m{i}")))
-        rows = rows.withColumn(f"__s{i}", at)
-        rows = rows.join(side, F.bitmap_bucket_number(F.col(f"__s{i}")) == F.col(f"__b{i}"), "left")
-        maybe = maybe & filters.bit_set(F.col(f"__m{i}"), F.col(f"__s{i}"))
-    return rows.withColumn("__maybe", maybe).drop(*(f"__{x}{i}" for x in "sbm" for i in range(PROBES)))
+def probed(rows: DataFrame, bloom: Bloom, h: str = "h", out: str = "__maybe") -> DataFrame:
+    """Pass 2: ``rows`` and a column ``out``, false where the filter has not the hash ``h``.
+
+    The broadcast is MAX_BITS / 8 bytes at most.
+    """
+    side = F.broadcast(bloom.rows.select(F.col("bucket").alias("__b"), F.col("bits").alias("__m")))
+    at = _slots(F.col(h), bloom.bits, bloom.probes)
+    hit = F.lit(True)
+    for slot in at:
+        hit = hit & filters.bit_set(F.col("__m"), slot)
+    return rows.join(side, F.bitmap_bucket_number(at[0]) == F.col("__b"), "left").withColumn(out, hit).drop("__b", "__m")
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, keep_id, group_size, kept, digest), a row for each row of ``docs``."""
     hashed = materialize(digests(docs, text, id_col), "digests")
-    flagged = possibly_repeated(hashed, *repeated_slots(hashed))
+    flagged = probed(hashed, repeated_slots(hashed))
     once = flagged.filter(~F.col("__maybe")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
@@ -72,21 +111,25 @@ def duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the largest id.
 
-    Only rows that may have a copy shuffle with their texts.
+    Digests decide; whole rows shuffle only where they may be the one of a group that stays.
     """
     cols = docs.columns
     hashed = materialize(digests(docs, text, id_col), "digests")
-    bloom = repeated_slots(hashed)
+    by_text = probed(hashed, repeated_slots(hashed)).filter("__maybe").groupBy("digest")
+    groups = by_text.agg(F.max(F.struct("id")).alias("top"), F.first("h").alias("h"), F.count("*").alias("size")).filter("size > 1")
+    # written, so that the joins below have an exchange on either side and Spark can split a large group
+    groups = materialize(groups.drop("size"), "groups")
+    repeated, top = hit_slots(groups.select("h")), groups.select("digest", "top")
+    stays = F.col("top").isNull() | F.col("id").eqNullSafe(F.col("top.id"))
+    staying = probed(hashed, repeated).filter("__maybe").join(top, "digest", "left").filter(stays)
+    staying = hit_slots(materialize(staying.select(F.xxhash64("id", "h").alias("h")), "staying"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(id_col).alias("id"), fold_ascii(F.col(text)).alias("t"))
-    rows = possibly_repeated(whole.withColumn("h", F.xxhash64("t")), *bloom)
-    # written, so that the join below has an exchange on either side and Spark can split a large group
-    groups = materialize(possibly_repeated(hashed, *bloom).filter("__maybe").groupBy("digest").agg(F.max(F.struct("id")).alias("top")), "groups")
+    rows = probed(whole.withColumn("h", F.xxhash64("t")), repeated)
     once = rows.filter(~F.col("__maybe")).select("row.*")
-    copies = rows.filter("__maybe").select("row", "id", F.sha2(F.encode("t", "UTF-8"), 256).alias("digest"))
-    # the winners' rows only: repeats of a whole row are what is left to drop
-    winners = copies.join(groups, "digest").filter(F.col("id").eqNullSafe(F.col("top.id")))
-    kept = winners.groupBy("digest").agg(F.first("row").alias("row"))
-    return once.unionByName(kept.select("row.*"))
+    may_stay = probed(rows.filter("__maybe").withColumn("own", F.xxhash64("id", "h")), staying, "own", "__stays").filter("__stays")
+    kept = may_stay.select("row", "id", F.sha2(F.encode("t", "UTF-8"), 256).alias("digest")).join(top, "digest", "left").filter(stays)
+    # repeats of an id and text are what is left to drop
+    return once.unionByName(kept.groupBy("digest").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Fixed-size bitmaps of hashed keys, built and probed with native SQL functions.
 
-A bitmap has at most ``MAX_BITS`` bits (16 MB), whatever the input: that is the proven bound of all
-that is broadcast here. A bitmap has false positives but no false negatives, so it only ever lets
-more rows through to the exact step behind it.
+A bitmap has at most ``MAX_BITS`` bits (16 MB), or the bound its caller states, whatever the input:
+that is the proven bound of all that is broadcast here. A bitmap has false positives but no false
+negatives, so it only ever lets more rows through to the exact step behind it.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ MAX_BITS = 1 << 27
 USEFUL_SHARE = 0.5
 
 
-def bits_for(n: int, each: int = 16) -> int:
-    """A power of two near ``each`` bits a key, at least one bucket, at most MAX_BITS."""
-    return min(MAX_BITS, 1 << max(15, math.ceil(math.log2(max(1, n * each)))))
+def bits_for(n: int, each: int = 16, most: int = MAX_BITS) -> int:
+    """A power of two near ``each`` bits a key, at least one bucket, at most ``most``."""
+    return min(most, 1 << max(15, math.ceil(math.log2(max(1, n * each)))))
 
 
 def slot(column: Column, bits: int) -> Column:
